@@ -69,6 +69,12 @@ def term_weights(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, flo
 
 
 
+def _local(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """Rows of words and numbers as a relation in the plan itself."""
+    shown = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {shown} AS t({names})")
+
+
 def template_table(spark: SparkSession, idf: dict[str, float]) -> DataFrame:
     """(term, idf, license, template, weight): unit vectors of the templates; as long as TEMPLATES."""
     rows, nth = [], 0
@@ -79,40 +85,43 @@ def template_table(spark: SparkSession, idf: dict[str, float]) -> DataFrame:
             norm = sum((c * idf[t]) ** 2 for t, c in tf.items()) ** 0.5
             rows += [(t, license_, nth, c * idf[t] / norm) for t, c in sorted(tf.items())]
             nth += 1
-    return spark.createDataFrame(rows, "term string, license string, template int, weight double")
+    return _local(spark, rows, "term, license, template, weight")
 
 
 def _units(docs: DataFrame, idf: dict[str, float], other: float) -> DataFrame:
-    """(path, text, kind): lines and whole texts that can reach the least cosine.
+    """(path, key, text, kind): lines and whole texts that can reach the least cosine.
 
-    In a unit whose known terms number k and whose different other terms number d, cos^2 <= a / (a + d * other^2) with
-    a = (k * largest idf)^2, so what this leaves out is below the threshold."""
+    A template's terms are all known, so cos^2 <= a / (a + b), where a sums the squared weights of a unit's known terms and
+    b those of its different other terms, once each: what this leaves out is below the threshold. A looser bound on a, from
+    the number of known terms, comes first."""
     lines = docs.select("path", F.explode(F.split("text", "\n")).alias("text"), F.lit("header").alias("kind"))
     files = docs.select("path", "text", F.lit("file").alias("kind"))
     least = F.when(F.col("kind") == "header", LINE_COSINE).otherwise(FILE_COSINE) ** 2
+    weight = F.create_map(*[F.lit(x) for pair in sorted(idf.items()) for x in pair])
 
     def may(terms: Column, known: Column) -> Column:
-        a = (F.size(known) * max(idf.values())) ** 2
-        d = (F.size(F.array_distinct(terms)) - F.size(F.array_distinct(known))) * other**2
-        return (F.size(known) > 0) & (a >= least * (a + d))
+        b = (F.size(F.array_distinct(terms)) - F.size(F.array_distinct(known))) * other**2
+        most = (F.size(known) * max(idf.values())) ** 2
+        a = F.aggregate(F.array_distinct(known), F.lit(0.0), lambda acc, x: acc + F.pow(F.size(F.filter(known, lambda y: y == x)) * weight[x], F.lit(2.0)))
+        return (F.size(known) > 0) & (most >= least * (most + b)) & (a * (1 + 1e-9) >= least * (a + b))
 
     # The lambdas bind the terms and the known ones, so that each is made once for a unit.
     reach = F.transform(F.array(_terms(F.col("text"))), lambda t: F.transform(F.array(F.filter(t, lambda x: x.isin(VOCABULARY))), lambda k: may(t, k))[0])[0]
-    return lines.unionAll(files).where(reach).select("path", "text", "kind")
+    return lines.unionAll(files).where(reach).select("path", F.sha2("text", 256).alias("key"), "text", "kind")
 
 
 def _matches(units: DataFrame, idf: dict[str, float], other: float) -> DataFrame:
-    """(text, license, cosine) of each different unit: its best template, ties to the first licence."""
+    """(key, license, cosine) of each different unit: its best template, ties to the first licence. A digest stands for the
+    text wherever rows multiply."""
     spark = units.sparkSession
-    weights = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))  # the template terms
-    terms = units.select("text").distinct().select("text", F.explode(_terms(F.col("text"))).alias("term")).groupBy("text", "term").agg(F.count("*").alias("tf"))
-    terms = terms.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    terms = terms.select("text", "term", "w")
-    norm = terms.groupBy("text").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(F.broadcast(template_table(spark, idf)), "term").groupBy("text", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cos = dots.join(norm, "text").select("text", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"))
-    best = cos.groupBy("text").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("b"))
-    return best.select("text", F.col("b.license").alias("license"), (-F.col("b.less")).alias("cosine"))
+    weights = F.broadcast(_local(spark, sorted(idf.items()), "term, idf"))  # the template terms
+    terms = units.select("key", "text").dropDuplicates(["key"]).select("key", F.explode(_terms(F.col("text"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    terms = terms.join(weights, "term", "left").select("key", "term", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("w"))
+    norm = terms.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = terms.join(F.broadcast(template_table(spark, idf)), "term").groupBy("key", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    cos = dots.join(norm, "key").select("key", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"))
+    best = cos.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("b"))
+    return best.select("key", F.col("b.license").alias("license"), (-F.col("b.less")).alias("cosine"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -127,7 +136,7 @@ def scan(docs: DataFrame) -> DataFrame:
     idf, other = term_weights(docs)
     units = materialize(_units(docs, idf, other), "license-units")
     lines = materialize(_matches(units, idf, other), "license-lines")
-    found = units.join(lines, "text").where(F.col("cosine") >= F.when(F.col("kind") == "header", LINE_COSINE).otherwise(FILE_COSINE))
+    found = units.drop("text").join(lines, "key").where(F.col("cosine") >= F.when(F.col("kind") == "header", LINE_COSINE).otherwise(FILE_COSINE))
     own = found.groupBy("path").agg(F.min(F.struct("kind", (-F.col("cosine")).alias("less"), "license")).alias("b"))
     own = own.select(F.col("path").alias("p"), F.col("b.kind").alias("kind"), F.col("b.license").alias("license"), (-F.col("b.less")).alias("cosine"))
     own = materialize(own, "license-own")
