@@ -134,15 +134,21 @@ def _encoder(path: str, cut: bool) -> ChunkEncoder:
     return ChunkEncoder(path, cut)
 
 
-def token_table(docs: DataFrame, tokenizer: str, end: int | None = 1, cut: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids) for each row; ids little-endian unsigned 32-bit. Null text: empty."""
+def id_kind(vocab: int) -> str:
+    """Ids between the steps take two bytes where the vocabulary allows it."""
+    return "<u2" if vocab <= 1 << 16 else "<u4"
+
+
+def token_table(docs: DataFrame, tokenizer: str, vocab: int, end: int | None = 1, cut: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids) for each row; ids little-endian unsigned, as wide as id_kind(vocab). Null text: empty."""
     small_batches(docs.sparkSession)
+    kind = id_kind(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer, cut)
         for b in (x for y in batches for x in blocks(y, 1)):
             ids = enc(b.column(1), end)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -154,7 +160,7 @@ def ranks(tokens: DataFrame, vocab: int) -> np.ndarray:
         n = np.zeros(vocab, np.int64)
         for b in batches:
             if b.num_rows:
-                n += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"), minlength=vocab)
+                n += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), id_kind(vocab)), minlength=vocab)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["id", "n"])
 
@@ -171,6 +177,7 @@ def write_token_files(tokens: DataFrame, by_rank: np.ndarray, folder: str) -> Da
     spark = tokens.sparkSession
     rank = np.empty(len(by_rank), np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    kind = id_kind(len(by_rank))
     shared = spark.sparkContext.broadcast(rank)  # as long as the vocabulary
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(2 * spark.sparkContext.defaultParallelism, total // DOC_TOKENS_PER_PARTITION + 1)
@@ -192,7 +199,7 @@ def write_token_files(tokens: DataFrame, by_rank: np.ndarray, folder: str) -> Da
         for b in batches:
             for d, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 doc_ids.append(d)
-                ids.append(np.frombuffer(x.as_buffer(), "<u4"))
+                ids.append(np.frombuffer(x.as_buffer(), kind))
                 held += len(ids[-1])
                 if held >= FILE_TOKENS:
                     yield flush()
@@ -237,7 +244,7 @@ def round_trip(docs: DataFrame, tokenizer: str, vocab: int, end: int | None = 1,
     Empty and null texts have the end id alone. Rows with a null id come first; repeated ids are ordered by length, then by
     a hash of their ids. An empty table gives no rows. Other columns aren't read.
     """
-    tokens = materialize(token_table(docs, tokenizer, end, cut, id_col, text_col), "tokens")
+    tokens = materialize(token_table(docs, tokenizer, vocab, end, cut, id_col, text_col), "tokens")
     by_rank = ranks(tokens, vocab)
     index = write_token_files(tokens, by_rank, shared_dir(docs.sparkSession, "token-files"))
     discard(tokens)
