@@ -1 +1,58 @@
-"""See README: package layout."""
+"""Column functions of the credit domain; all stay inside the JVM."""
+
+from __future__ import annotations
+
+import unicodedata
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_PAIRS = [(chr(k), d[0]) for k in range(0xC0, 0x2000) if len(d := "".join(c for c in unicodedata.normalize("NFD", chr(k)) if unicodedata.category(c) != "Mn")) == 1 and d != chr(k)]
+# Particles that names drop.
+PARTICLES = ["de", "du", "des", "la", "le", "el", "al", "ben", "bin", "ould"]
+
+
+def strip_accents(x: Column) -> Column:
+    """Letters without their marks, by a table made from Unicode's canonical decompositions; loose marks go too."""
+    return F.regexp_replace(F.translate(x, "".join(a for a, _ in _PAIRS), "".join(b for _, b in _PAIRS)), r"\p{Mn}", "")
+
+
+def normal_name(x: Column, particles: list[str] = PARTICLES) -> Column:
+    words = F.split(F.regexp_replace(F.upper(strip_accents(x)), r"(?U)[^\p{L}\p{N}_\s]", " "), r"(?U)\s+")
+    return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin([p.upper() for p in particles])), " ")
+
+
+def full_name(first: Column, second: Column) -> Column:
+    return F.concat_ws(" ", F.nullif(first, F.lit("")), F.nullif(second, F.lit("")))
+
+
+def normal_identifier(x: Column) -> Column:
+    return F.regexp_replace(F.upper(F.coalesce(x, F.lit(""))), r"(?U)[\s-]", "")
+
+
+def phonetic_key(x: Column) -> Column:
+    """PH as F, Q and C as K; the first letter stays, later vowels go and repeats among the rest collapse."""
+    k = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "PH", "F"), "Q", "K"), "C", "K")
+    return F.concat(F.substring(k, 1, 1), F.regexp_replace(F.regexp_replace(F.substring(k, 2, 1 << 30), "[AEIOUY]", ""), r"(.)\1+", "$1"))
+
+
+def strict_date(x: Column) -> Column:
+    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(x, "yyyy-MM-dd"))
+
+
+def strict_number(x: Column) -> Column:
+    return F.when(x.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), x.try_cast("double"))
+
+
+def blank(x: Column) -> Column:
+    return ~F.coalesce(x, F.lit("")).rlike(r"(?U)\S")
+
+
+def arrears_class(days: Column) -> Column:
+    return F.when(days == 0, "sain").when(days <= 30, "sensible").when(days <= 90, "douteux").otherwise("contentieux")
+
+
+def escape_html(x: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
