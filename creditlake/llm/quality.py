@@ -17,7 +17,7 @@ from .terms import Hasher, held_out, labelled_sample
 BITS, SHAPES = 13, 24
 TERMS = (1 << BITS) + SHAPES
 #: The fit's bounds: labelled documents, whose vectors are broadcast (SAMPLE x RANK floats, 1 MB), and the rank.
-SAMPLE, RANK, NEAREST = 4000, 64, 15
+SAMPLE, RANK, NEAREST = 3000, 64, 15
 HELD_FOLDS, HELD_FOLD = 5, 0
 THRESHOLD = 0.3
 _BLOCK = 512

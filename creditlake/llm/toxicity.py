@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import blocks
-from .common import small_batches
+from .common import materialize, small_batches
 from .terms import Hasher, held_out, labelled_sample
 
 #: Terms are hashed so wide that strangers rarely meet; words count with their stems of these lengths.
@@ -42,30 +42,107 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def telling(samples: list[np.ndarray], y: np.ndarray, most: int = MOST_TERMS) -> np.ndarray:
+def fit(terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: int = 40, rate: float = 0.1, l2: float = 2e-4, l1: float = 2e-4, batch: int = 256, seed: int = 5) -> FactorizationMachine:
+    """Adagrad on the log loss, with shrinkage. terms: sorted known terms; rows: the positions there of each document's
+    terms; y: labels. Without both labels the prior is all it has."""
+    n = len(rows)
+    prior = float(np.clip((y.sum() + 0.5) / (n + 1), 1e-3, 1 - 1e-3)) if n else 0.5
+    bias = float(np.log(prior / (1 - prior)))
+    rng = np.random.default_rng(seed)
+    m = FactorizationMachine(terms, bias, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), factors)))
+    if n == 0 or len(np.unique(y)) < 2 or not len(terms):
+        return m
+    gw, gv, gb = np.full(len(terms), 1e-2), np.full((len(terms), factors), 1e-2), 1e-2
+    for _ in range(epochs):
+        order = rng.permutation(n)
+        for at in range(0, n, batch):
+            part = order[at : at + batch]
+            sizes = np.array([len(rows[k]) for k in part])
+            idx = np.concatenate([rows[k] for k in part])
+            if not len(idx):
+                continue
+            doc = np.repeat(np.arange(len(part)), sizes)
+            v = m.v[idx]
+            some = np.flatnonzero(sizes)
+            total = np.zeros((len(part), factors))
+            total[some] = np.add.reduceat(v, np.r_[0, np.cumsum(sizes[some])[:-1]], axis=0)
+            square = np.bincount(doc, (v**2).sum(axis=1), len(part))
+            z = m.bias + np.bincount(doc, m.w[idx], len(part)) + 0.5 * ((total**2).sum(axis=1) - square)
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
+            gb += g.sum() ** 2
+            m.bias -= rate * g.sum() / np.sqrt(gb)
+            by = np.argsort(idx, kind="stable")
+            own, starts = np.unique(idx[by], return_index=True)
+            dw = np.add.reduceat(g[doc][by], starts) + l2 * m.w[own]
+            dv = np.add.reduceat((g[doc][:, None] * (total[doc] - v))[by], starts) + l2 * m.v[own]
+            gw[own] += dw**2
+            gv[own] += dv**2
+            step = rate / np.sqrt(gw[own])
+            w = m.w[own] - step * dw
+            m.w[own] = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+            m.v[own] -= rate * dv / np.sqrt(gv[own])
+    return m
+
+
+def telling(hashed: DataFrame, n: int, positive: int, most: int = MOST_TERMS) -> np.ndarray:
     """Sorted terms of enough documents whose presence and the label depend on each other most, by chi-squared."""
-    n = len(samples)
-    if not n:
-        return np.empty(0, np.int64)
-    ids, at, df = np.unique(np.concatenate(samples), return_inverse=True, return_counts=True)
-    pos = np.bincount(at, np.repeat(y, [len(x) for x in samples]), len(ids))
-    p = y.sum() / n
-    chi = (pos - df * p) ** 2 / (df * max(p * (1 - p), 1e-9) * np.maximum(1 - df / n, 1 / n))
-    keep = np.flatnonzero((df >= min(LEAST_DOCS, max(1, n // 50))) & (chi >= LEAST_CHI))
-    return ids[np.sort(keep[np.argsort(-chi[keep], kind="stable")[:most]])]
-
-
-def fit(samples: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: int = 40, rate: float = 0.1, l2: float = 2e-4, l1: float = 2e-4, batch: int = 256, seed: int = 5) -> FactorizationMachine:
-    """Adagrad on the log loss, with shrinkage that leaves rare terms at zero. Needs both labels; else the prior is all it has."""
-    n = len(samples)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            labels = b.column(0).to_numpy()
+            each = [np.frombuffer(x.as_buffer(), "<i8") for x in b.column(1)]
+            ids, at, df = np.unique(np.concatenate(each), return_inverse=True, return_counts=True) if each else (np.empty(0, np.int64),) * 3
+            pos = np.bincount(at, np.repeat(labels, [len(x) for x in each]), len(ids)).astype(np.int64) if len(ids) else df
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(df.astype(np.int64)), pa.array(pos)], names=["term", "df", "pos"])
+
+    stats = hashed.select("label", "terms").mapInArrow(count, "term long, df long, pos long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
+    p = positive / max(1, n)
+    chi = F.pow(F.col("pos") - F.col("df") * p, 2) / (F.col("df") * max(p * (1 - p), 1e-9) * F.greatest(1 - F.col("df") / max(1, n), F.lit(1 / max(1, n))))
+    top = stats.where((F.col("df") >= min(LEAST_DOCS, max(1, n // 50))) & (chi >= LEAST_CHI)).orderBy(chi.desc(), "term").limit(most)
+    return np.sort(np.array([r["term"] for r in top.select("term").collect()], np.int64))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> FactorizationMachine:
+    """Fit on a bounded sample of labelled rows outside the held-out fold. The driver gets MOST_TERMS terms, and of each
+    sampled document the positions of those that it has."""
+    small_batches(docs.sparkSession)
+
+    def hash_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = Hasher(BITS, STEMS)
+        for b in (x for y in batches for x in blocks(y, 1)):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.astype("<i8").tobytes() for x, _ in h(b.column(1))], pa.binary())], names=["id", "label", "terms"])
+
+    some = labelled_sample(docs, labels, "toxic", held_out(id_col, HELD_FOLDS, HELD_FOLD), sample, id_col, text_col)
+    hashed = materialize(some.select(F.col("id").cast("string").alias("id"), "text", "label").mapInArrow(hash_terms, "id string, label int, terms binary"), "toxic-sample")
+    n, positive = hashed.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    terms = telling(hashed, n, positive)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = FactorizationMachine(terms, 0.0, np.empty(0), np.empty((0, 0)))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m.known(np.frombuffer(x.as_buffer(), "<i8")).astype("<i4").tobytes() for x in b.column(2)], pa.binary())], names=["id", "label", "at"])
+
+    rows = hashed.mapInArrow(place, "id string, label int, at binary").orderBy("id", "at").collect()
+    return fit(terms, [np.frombuffer(r["at"], "<i4") for r in rows], np.array([float(r["label"]) for r in rows]))
+
+
+def score(self, ids: np.ndarray) -> float:
+        k = self.known(ids)
+        v = self.v[k]
+        z = self.bias + self.w[k].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum())
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
+def fit(terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: int = 40, rate: float = 0.1, l2: float = 2e-4, l1: float = 2e-4, batch: int = 256, seed: int = 5) -> FactorizationMachine:
+    """Adagrad on the log loss, with shrinkage. terms: sorted known terms; rows: the positions there of each document's
+    terms; y: labels. Without both labels the prior is all it has."""
+    n = len(rows)
     prior = float(np.clip((y.sum() + 0.5) / (n + 1), 1e-3, 1 - 1e-3)) if n else 0.5
     bias = float(np.log(prior / (1 - prior)))
-    terms = telling(samples, y)
     rng = np.random.default_rng(seed)
     m = FactorizationMachine(terms, bias, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), factors)))
     if n == 0 or len(np.unique(y)) < 2 or not len(terms):
         return m
-    rows = [m.known(x) for x in samples]
     gw, gv, gb = np.full(len(terms), 1e-2), np.full((len(terms), factors), 1e-2), 1e-2
     for _ in range(epochs):
         order = rng.permutation(n)
