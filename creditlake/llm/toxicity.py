@@ -126,69 +126,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit(terms, [np.frombuffer(r["at"], "<i4") for r in rows], np.array([float(r["label"]) for r in rows]))
 
 
-def score(self, ids: np.ndarray) -> float:
-        k = self.known(ids)
-        v = self.v[k]
-        z = self.bias + self.w[k].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-
-def fit(terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: int = 40, rate: float = 0.1, l2: float = 2e-4, l1: float = 2e-4, batch: int = 256, seed: int = 5) -> FactorizationMachine:
-    """Adagrad on the log loss, with shrinkage. terms: sorted known terms; rows: the positions there of each document's
-    terms; y: labels. Without both labels the prior is all it has."""
-    n = len(rows)
-    prior = float(np.clip((y.sum() + 0.5) / (n + 1), 1e-3, 1 - 1e-3)) if n else 0.5
-    bias = float(np.log(prior / (1 - prior)))
-    rng = np.random.default_rng(seed)
-    m = FactorizationMachine(terms, bias, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), factors)))
-    if n == 0 or len(np.unique(y)) < 2 or not len(terms):
-        return m
-    gw, gv, gb = np.full(len(terms), 1e-2), np.full((len(terms), factors), 1e-2), 1e-2
-    for _ in range(epochs):
-        order = rng.permutation(n)
-        for at in range(0, n, batch):
-            part = order[at : at + batch]
-            sizes = np.array([len(rows[k]) for k in part])
-            idx = np.concatenate([rows[k] for k in part])
-            if not len(idx):
-                continue
-            doc = np.repeat(np.arange(len(part)), sizes)
-            v = m.v[idx]
-            some = np.flatnonzero(sizes)
-            total = np.zeros((len(part), factors))
-            total[some] = np.add.reduceat(v, np.r_[0, np.cumsum(sizes[some])[:-1]], axis=0)
-            square = np.bincount(doc, (v**2).sum(axis=1), len(part))
-            z = m.bias + np.bincount(doc, m.w[idx], len(part)) + 0.5 * ((total**2).sum(axis=1) - square)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
-            gb += g.sum() ** 2
-            m.bias -= rate * g.sum() / np.sqrt(gb)
-            by = np.argsort(idx, kind="stable")
-            own, starts = np.unique(idx[by], return_index=True)
-            dw = np.add.reduceat(g[doc][by], starts) + l2 * m.w[own]
-            dv = np.add.reduceat((g[doc][:, None] * (total[doc] - v))[by], starts) + l2 * m.v[own]
-            gw[own] += dw**2
-            gv[own] += dv**2
-            step = rate / np.sqrt(gw[own])
-            w = m.w[own] - step * dw
-            m.w[own] = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-            m.v[own] -= rate * dv / np.sqrt(gv[own])
-    return m
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> FactorizationMachine:
-    """Fit on a bounded sample of labelled rows outside the held-out fold. Hashed terms, not texts, come to the driver."""
-    small_batches(docs.sparkSession)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = Hasher(BITS, STEMS)
-        for b in (x for y in batches for x in blocks(y, 1)):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.astype("<i8").tobytes() for x, _ in h(b.column(1))], pa.binary())], names=["id", "label", "terms"])
-
-    some = labelled_sample(docs, labels, "toxic", held_out(id_col, HELD_FOLDS, HELD_FOLD), sample, id_col, text_col)
-    rows = some.select(F.col("id").cast("string").alias("id"), "text", "label").mapInArrow(hashed, "id string, label int, terms binary").orderBy("id", "terms").collect()
-    return fit([np.frombuffer(r["terms"], "<i8") for r in rows], np.array([float(r["label"]) for r in rows]))
-
-
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, held_out, score, predicted) for every row of docs, from its whole text alone.
 
