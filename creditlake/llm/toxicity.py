@@ -42,10 +42,11 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: int = 40, rate: float = 0.1, l2: float = 2e-4, l1: float = 2e-4, batch: int = 256, seed: int = 5) -> FactorizationMachine:
+def fit(terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: int = 40, rate: float = 0.1, l2: float = 2e-4, l1: float = 2e-4, batch: int | None = None, seed: int = 5) -> FactorizationMachine:
     """Adagrad on the log loss, with shrinkage. terms: sorted known terms; rows: the positions there of each document's
     terms; y: labels. Without both labels the prior is all it has."""
     n = len(rows)
+    batch = batch or max(16, min(128, n // 40))  # small samples need their steps too
     prior = float(np.clip((y.sum() + 0.5) / (n + 1), 1e-3, 1 - 1e-3)) if n else 0.5
     bias = float(np.log(prior / (1 - prior)))
     rng = np.random.default_rng(seed)
