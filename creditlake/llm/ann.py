@@ -14,7 +14,7 @@ from .common import materialize
 from .near_vectors import usable
 
 #: Vectors of a shard and queries of a block; a task holds one of each, whatever the table's size.
-SHARD_ROWS, QUERY_ROWS = 4096, 2048
+SHARD_ROWS, QUERY_ROWS = 8192, 2048
 #: Neighbours of a node (twice as many on the ground level), candidates for them, and the beam of a search.
 LINKS, CANDIDATES, BEAM, STEP = 20, 64, 160, 4
 

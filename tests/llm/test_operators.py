@@ -133,6 +133,6 @@ def test_classifiers_and_licenses(spark, docs):
         got = f(d, labels).collect()
         assert all(r["predicted"] == (c if r["doc_id"] % 3 == 0 else 1 - c) for r in got) and any(r["held_out"] for r in got)
         assert all(0 <= r["score"] <= 1 for r in f(docs, labels.limit(0)).collect())
-    texts = [("a/b/LICENSE", "Released under the MIT License."), ("a/b/c/x", "plain text"), ("a/y", "plain"), ("a/b/z", "some words\nLicensed under the Apache License, Version 2.0."), (None, None), ("a/b/c/x", "plain text")]
+    texts = [("a/b/LICENSE", "Released under the MIT License."), ("a/b/c/x", "plain text"), ("a/y", "plain"), ("a/b/z", " ".join(f"word{k}" for k in range(60)) + "\nLicensed under the Apache License, Version 2.0."), (None, None), ("a/b/c/x", "plain text")]
     got = {r["path"]: (r["license"], r["origin"]) for r in licenses.scan(spark.createDataFrame(texts, "path string, text string")).collect()}
     assert got == {"a/b/LICENSE": ("MIT", "file"), "a/b/c/x": ("MIT", "inherited"), "a/y": (None, None), "a/b/z": ("Apache-2.0", "header"), None: (None, None)}
