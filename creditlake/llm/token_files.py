@@ -98,25 +98,34 @@ class ChunkEncoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: 256 + k for k, b in enumerate(hidden)}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters_only = not any(t.isascii() and t.isalpha() for t in self.special)
 
     def _all(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _new(self, chunks: list[str]) -> list[bytes]:
-        out: list = [None] * len(chunks)
-        plain = [_PLAIN.fullmatch(c) is not None and not any(t in c for t in self.special) for c in chunks]
-        cut = [_WORD.findall(c.lower()) for c, p in zip(chunks, plain, strict=True) if p]
-        words = {w: None for ws in cut for w in ws}
+        # A chunk of ASCII letters is one word. Of the rest, plain ones are cut into words and others pass the whole library.
+        cut: list = [c.lower() if self.letters_only and c.isascii() and c.isalpha() else None for c in chunks]
+        rest = [k for k, w in enumerate(cut) if w is None]
+        joined = "\n".join([chunks[k] for k in rest])
+        special = [t for t in self.special if t in joined]
+        for k in rest:
+            c = chunks[k]
+            if (c.isascii() and c.isprintable() or _PLAIN.fullmatch(c)) and not (special and any(t in c for t in special)):
+                cut[k] = _WORD.findall(c.lower())
+        whole = iter(self._all([chunks[k] for k in rest if cut[k] is None]))
+        words = {w for w in cut if type(w) is str}
+        for k in rest:
+            words.update(cut[k] or ())
         known = self.words.all(list(words))
-        whole = self._all([c for c, p in zip(chunks, plain, strict=True) if not p])
-        a, b = iter(cut), iter(whole)
-        for k, p in enumerate(plain):
-            out[k] = b"".join([known[w] for w in next(a)]) if p else np.array(next(b), "<u4").tobytes()
-        return out
+        for k in rest:
+            cut[k] = np.array(next(whole), "<u4").tobytes() if cut[k] is None else b"".join([known[w] for w in cut[k]])
+        return [known[w] if type(w) is str else w for w in cut]
 
     def _new_words(self, words: list[str]) -> list[bytes]:
         one, letters = self.tokenizer.model.tokenize, self.letters
-        return [array("I", [t.id for t in one(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in words]
+        shown = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters) for w in words]
+        return [array("I", [t.id for t in one(w)]).tobytes() for w in shown]
 
     def __call__(self, texts: pa.Array, end: int | None) -> list[np.ndarray]:
         if self.cut:
