@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -79,6 +80,8 @@ def unpack(raw: bytes, by_rank: np.ndarray) -> Iterator[tuple[int | None, np.nda
 #: Chunks of these characters are in normal form and have one lower case; in them the tokenizer's word pattern is _WORD.
 _PLAIN = re.compile("[!-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]*")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
+#: A chunk of letters and one of these is those two words.
+_STOPS = frozenset(".,;:!?)")
 
 
 class ChunkEncoder:
@@ -111,7 +114,9 @@ class ChunkEncoder:
         special = [t for t in self.special if t in joined]
         for k in rest:
             c = chunks[k]
-            if (c.isascii() and c.isprintable() or _PLAIN.fullmatch(c)) and not (special and any(t in c for t in special)):
+            if c[-1] in _STOPS and c[:-1].isascii() and c[:-1].isalpha() and not special:
+                cut[k] = (c[:-1].lower(), c[-1])
+            elif (c.isascii() and c.isprintable() or _PLAIN.fullmatch(c)) and not (special and any(t in c for t in special)):
                 cut[k] = _WORD.findall(c.lower())
         whole = iter(self._all([chunks[k] for k in rest if cut[k] is None]))
         words = {w for w in cut if type(w) is str}
@@ -140,6 +145,7 @@ class ChunkEncoder:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, cut: bool) -> ChunkEncoder:
+    gc.set_threshold(200_000)  # the kept chunks hold no cycles, and looking through them costs a twentieth of the time
     return ChunkEncoder(path, cut)
 
 
