@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from . import scoring
 from .dialect import Spark
 
 # Month ends, classes of arrears, severities of the rule codes (3 rejects, 2 and 1 are reserves).
@@ -173,10 +174,10 @@ def _plans(d: Spark) -> dict[str, str]:
 
 
 def statements(d: Spark) -> dict[str, str]:
-    steps = _with(d)
+    steps = _with(d) | scoring.steps(d)
     steps["tri"] = "SELECT cle, ident, naissance, array_to_string(list_sort(string_split(nom_complet, ' ')), ' ') AS tri FROM normal" if d.name == "duckdb" else "SELECT cle, ident, naissance, array_join(array_sort(split(nom_complet, ' ')), ' ') AS tri FROM normal"
     out = {}
-    for name, body in _plans(d).items():
+    for name, body in (_plans(d) | scoring.plans(d)).items():
         need, todo = set(), [body]
         while todo:
             text = todo.pop()

@@ -39,6 +39,9 @@ class Spark:
     def quantile(self, x, q):
         return f"percentile({x}, {q}D)"
 
+    def half_even(self, x):
+        return f"cast(rint({x}) AS bigint)"
+
     def findings(self, source, keys, checks):
         """One row for each rule (code: predicate, field) that a record breaks, in one narrow pass over the records."""
         each = ", ".join(f"CASE WHEN {rule} THEN named_struct('code', '{c}', 'champ', {field}) END" for c, (rule, field) in checks.items())
@@ -85,5 +88,8 @@ class DuckDB(Spark):
     def quantile(self, x, q):
         return f"quantile_cont({x}, {q})"
 
+    def half_even(self, x):
+        return f"cast(round_even({x}, 0) AS bigint)"
+
     def findings(self, source, keys, checks):
         return " UNION ALL ".join(f"SELECT {keys}, '{c}' AS code, {field} AS champ FROM {source} WHERE {rule}" for c, (rule, field) in checks.items())
