@@ -4,12 +4,14 @@ import random
 import zlib
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
 
 from creditlake.llm import ann, licenses, mixing, near_vectors, pieces, quality, simhash, token_files, toxicity, warc
+from creditlake.llm.queries import ORACLE_SQL, QUERIES
 
 DOCS = "doc_id long, text string, source string, path string, id string, label int"
 TEXTS = [None, "", " \t\n", "One two", "one TWO", "a b c d e f g", "a b c d e f g", "é" * 5000 + " x", "w " * 30000, "▁ \0 tab\t nbsp x\u001cy", "Licensed under CC BY-NC 4.0.", "idiot " + "plain words here " * 20]
@@ -136,3 +138,28 @@ def test_classifiers_and_licenses(spark, docs):
     texts = [("a/b/LICENSE", "Released under the MIT License."), ("a/b/c/x", "plain text"), ("a/y", "plain"), ("a/b/z", " ".join(f"word{k}" for k in range(60)) + "\nLicensed under the Apache License, Version 2.0."), (None, None), ("a/b/c/x", "plain text")]
     got = {r["path"]: (r["license"], r["origin"]) for r in licenses.scan(spark.createDataFrame(texts, "path string, text string")).collect()}
     assert got == {"a/b/LICENSE": ("MIT", "file"), "a/b/c/x": ("MIT", "inherited"), "a/y": (None, None), "a/b/z": ("Apache-2.0", "header"), None: (None, None)}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_rows_as_duckdb(spark, name, sf):
+    con = duckdb.connect()
+    for t in ("pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/{sf}/{t}.parquet'")
+    df = QUERIES[name](spark, f"/root/testdata/{sf}")
+    want = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, df.select(*names).toPandas().astype(object).where(lambda x: x.notna(), None).itertuples(index=False, name=None))) == sorted(map(str, want.fetchdf().astype(object).where(lambda x: x.notna(), None).itertuples(index=False, name=None)))
+
+
+def test_chunk_encoder_against_the_library():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    whole, enc, r = Tokenizer.from_file(path), token_files.ChunkEncoder(path), random.Random(3)
+    parts = ["Hello", "WORLD", "don't", "it'S", "'", "x", "É", "ß", "İ", "ª", "12", "_", ",", ".", ")", "!?", "...", " ", "\t", " ", "\0", "\x1f", *enc.special, "日本", "é"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(4000)]
+    got = enc(token_files.pa.array(texts), None)
+    for t, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, t
