@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import identity
 from .plans.credit import runner, statements
 from .plans.dialect import DuckDB, Spark
+from .sources import generator
 
 PLANS = statements(Spark())
 #: The similarity of names is a nested fold here; tests hold it against brute force instead.
@@ -43,3 +44,28 @@ def i_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (i_components, i_pairwise_metrics, i_cluster_sizes)}
+
+
+#: Size and seed of the generated data that the queries show; nothing of it comes from the tables.
+GENERATED = {"n": 3000, "contracts": 5000, "seed": 42}
+
+
+def g_borrowers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generator.declared_borrowers(generator.borrowers(spark, GENERATED["n"], GENERATED["seed"]), GENERATED["seed"])
+
+
+def g_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = generator.borrowers(spark, GENERATED["n"], GENERATED["seed"])
+    return generator.contracts(people, GENERATED["contracts"], people.count(), GENERATED["seed"])
+
+
+def g_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generator.declared_contracts(generator.snapshots(g_contracts(spark, sf_dir), GENERATED["seed"]), GENERATED["seed"])
+
+
+def g_anomaly_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contracts = generator.anomaly_truth(g_declared(spark, sf_dir), "contrat", "id_contrat")
+    return generator.anomaly_truth(g_borrowers(spark, sf_dir), "emprunteur", "id_emprunteur").unionByName(contracts)
+
+
+QUERIES |= {f.__name__: f for f in (g_borrowers, g_contracts, g_declared, g_anomaly_truth)}
