@@ -1,10 +1,12 @@
-"""License scans: sparse TF-IDF cosine of lines and whole texts to templates, then inheritance from the nearest directory.
+"""License scans: sparse TF-IDF cosine of lines, runs of lines and whole texts to templates and whole licences, then
+inheritance from the nearest directory.
 
 DataFrame functions only. Lines are compared once for all documents that share them.
 """
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from math import log
 
@@ -26,22 +28,34 @@ TEMPLATES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
+    "LGPL-3.0": [
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
+#: Licences whose whole texts lie in license_texts. BSD-2-Clause is there so that it isn't taken for BSD-3-Clause.
+WHOLE = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MIT", "MPL-2.0"]
 #: A term is a run of ASCII letters and digits, or of letters outside ASCII with them.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Least cosines of a line and of a whole text.
-LINE_COSINE, FILE_COSINE = 0.8, 0.6
+#: Least cosines of a line or a run of lines, of a whole text to opening words, and of a whole text to a whole licence.
+LINE_COSINE, FILE_COSINE, WHOLE_COSINE = 0.8, 0.6, 0.8
+#: So many of a whole licence's heaviest terms tell whether a text can reach the least cosine.
+HEAVY = 40
+#: Marks the first term of a line (a private character).
+LINE = "\uE000"
 
 
 def python_terms(text: str) -> list[str]:
@@ -53,17 +67,19 @@ def _terms(text: Column) -> Column:
 
 
 VOCABULARY = sorted({t for ts in TEMPLATES.values() for x in ts for t in python_terms(x)})
+WHOLE_TEXTS = {x: [pkgutil.get_data(__package__, f"license_texts/{x}.txt").decode()] for x in WHOLE}
+WHOLE_VOCABULARY = sorted({t for ts in WHOLE_TEXTS.values() for x in ts for t in python_terms(x)})
 
 
-def term_weights(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, float], float]:
+def term_weights(docs: DataFrame, text_col: str = "text", vocabulary: list[str] = VOCABULARY) -> tuple[dict[str, float], float]:
     """idf of each template term over all documents, ln((1 + n) / (1 + df)) + 1, and the weight of every other term: their
     mean. The counts that come to the driver are one for each template term, and the documents'."""
-    here = F.array_distinct(F.filter(_terms(F.coalesce(F.col(text_col), F.lit(""))), lambda x: x.isin(VOCABULARY)))
+    here = F.array_distinct(F.filter(_terms(F.coalesce(F.col(text_col), F.lit(""))), lambda x: x.isin(vocabulary)))
     # The empty term stands for the document itself.
     rows = docs.select(F.explode(F.concat(F.array(F.lit("")), here)).alias("term")).groupBy("term").count().collect()
     df = {r["term"]: r["count"] for r in rows}
     n = df.pop("", 0)
-    idf = {t: log((1 + n) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}
+    idf = {t: log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
     return idf, sum(idf.values()) / len(idf)
 
 
@@ -75,19 +91,67 @@ def _local(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {shown} AS t({names})")
 
 
-def template_table(spark: SparkSession, idf: dict[str, float]) -> DataFrame:
-    """(term, idf, license, template, weight): unit vectors of the templates; as long as TEMPLATES."""
-    rows, nth = [], 0
-    for license_, texts in sorted(TEMPLATES.items()):
+def _unit_vectors(idf: dict[str, float], templates: dict[str, list[str]]) -> list[tuple[str, int, dict[str, float]]]:
+    """(license, number of terms, weights) of each template."""
+    out = []
+    for license_, texts in sorted(templates.items()):
         for text in texts:
             terms = python_terms(text)
-            tf = {t: terms.count(t) for t in terms}
+            tf = {t: terms.count(t) for t in sorted(set(terms))}
             norm = sum((c * idf[t]) ** 2 for t, c in tf.items()) ** 0.5
-            rows += [(t, license_, nth, c * idf[t] / norm) for t, c in sorted(tf.items())]
-            nth += 1
+            out.append((license_, len(terms), {t: c * idf[t] / norm for t, c in tf.items()}))
+    return out
+
+
+def template_table(spark: SparkSession, idf: dict[str, float], templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
+    """(term, license, template, weight): unit vectors of the templates."""
+    rows = [(t, license_, nth, w) for nth, (license_, _, weights) in enumerate(_unit_vectors(idf, templates)) for t, w in weights.items()]
     return _local(spark, rows, "term, license, template, weight")
 
 
+def _bounds(idf: dict[str, float], whole_idf: dict[str, float]) -> tuple[Column, list[str]]:
+    """An array of (k, size, need, terms, squares) for each template and whole licence (size 0), and all their terms here.
+
+    By Cauchy and Schwarz the cosine of a text to a unit vector is at most the root of the vector's squared weights on the
+    terms that the text has. So its squares on the heaviest terms, less what the cosine can do without, must be there.
+    """
+    rows, known = [], set()
+    both = [(n, w, LINE_COSINE) for _, n, w in _unit_vectors(idf, TEMPLATES)] + [(0, w, WHOLE_COSINE) for _, _, w in _unit_vectors(whole_idf, WHOLE_TEXTS)]
+    for k, (size, weights, cosine) in enumerate(both):
+        top = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[: len(weights) if size else HEAVY])
+        known |= set(top)
+        need = sum(w * w for w in top.values()) - (1 - cosine**2) - 1e-9
+        terms, squares = ", ".join(f"'{t}'" for t in top), ", ".join(f"'{t}', {w * w!r}D" for t, w in top.items())
+        rows.append(f"named_struct('k', {k}, 'size', {size}, 'need', {need!r}D, 'terms', array({terms}), 'squares', map({squares}))")
+    return F.expr(f"array({', '.join(rows)})"), sorted(known)
+
+
+def _covers(terms: Column, bound: Column) -> Column:
+    return F.aggregate(F.array_intersect(bound["terms"], terms), F.lit(0.0), lambda acc, x: acc + bound["squares"][x]) >= bound["need"]
+
+
+def _near(docs: DataFrame, idf: dict[str, float], whole_idf: dict[str, float]) -> DataFrame:
+    """(path, text, bounds) of the texts that hold enough of some template or whole licence, with these."""
+    bounds, known = _bounds(idf, whole_idf)
+    mine = F.transform(F.array(F.array_distinct(F.filter(_terms(F.col("text")), lambda x: x.isin(known)))), lambda terms: F.filter(bounds, lambda b: _covers(terms, b)))[0]
+    return docs.where("text IS NOT NULL").select("path", "text", mine.alias("bounds")).where(F.size("bounds") > 0)
+
+
+def _runs(near: DataFrame) -> DataFrame:
+    """(path, key, text, kind): for each template that a text may hold, the runs of as many terms that start with a line,
+    however the lines are broken, where they hold enough of it."""
+    marked = F.regexp_replace("text", "(?:^|\n)" + BETWEEN[:-1] + "*", f" {LINE}")
+    rows = near.select("path", F.filter(_terms(marked), lambda x: x != LINE).alias("terms"), F.explode(F.filter("bounds", lambda b: b["size"] > 0)).alias("b"))
+
+    def run(at: Column) -> Column:
+        return F.transform(F.slice("terms", at, F.col("b.size")), lambda x: F.translate(x, LINE, ""))
+
+    starts = F.filter(F.sequence(F.lit(1), F.size("terms")), lambda at: F.startswith(F.get("terms", at - 1), F.lit(LINE)))
+    held = F.filter(starts, lambda at: _covers(run(at), F.col("b")))
+    rows = rows.where(F.size("terms") > 0).select("path", F.explode(F.transform(held, lambda at: F.array_join(run(at), " "))).alias("text")).distinct()
+    return rows.select("path", F.sha2("text", 256).alias("key"), "text", F.lit("header").alias("kind"))
+
+
 def _units(docs: DataFrame, idf: dict[str, float], other: float) -> DataFrame:
     """(path, key, text, kind): lines and whole texts that can reach the least cosine.
 
@@ -110,7 +174,7 @@ def _units(docs: DataFrame, idf: dict[str, float], other: float) -> DataFrame:
     return lines.unionAll(files).where(reach).select("path", F.sha2("text", 256).alias("key"), "text", "kind")
 
 
-def _matches(units: DataFrame, idf: dict[str, float], other: float) -> DataFrame:
+def _matches(units: DataFrame, idf: dict[str, float], other: float, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """(key, license, cosine) of each different unit: its best template, ties to the first licence. A digest stands for the
     text wherever rows multiply."""
     spark = units.sparkSession
@@ -118,7 +182,7 @@ def _matches(units: DataFrame, idf: dict[str, float], other: float) -> DataFrame
     terms = units.select("key", "text").dropDuplicates(["key"]).select("key", F.explode(_terms(F.col("text"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     terms = terms.join(weights, "term", "left").select("key", "term", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("w"))
     norm = terms.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(F.broadcast(template_table(spark, idf)), "term").groupBy("key", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    dots = terms.join(F.broadcast(template_table(spark, idf, templates)), "term").groupBy("key", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     cos = dots.join(norm, "key").select("key", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"))
     best = cos.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("b"))
     return best.select("key", F.col("b.license").alias("license"), (-F.col("b.less")).alias("cosine"))
@@ -127,16 +191,22 @@ def _matches(units: DataFrame, idf: dict[str, float], other: float) -> DataFrame
 def scan(docs: DataFrame) -> DataFrame:
     """(path, license, origin, cosine, from_path) for every row of docs (path, text).
 
-    origin: 'file' if the whole text is a licence (cosine of at least 0.6), 'header' if a line is (0.8), each the best one;
+    origin: 'file' if the whole text is a licence (cosine of at least 0.6 to a template, 0.8 to a licence's whole text),
+    'header' if a line is, or a run of terms from a line's start that is as long as a template (0.8), each the best one;
     else 'inherited' from the nearest directory above, its own first, that holds a licence file (the best of a directory,
     then the smallest path); else null, with a null license. Null and empty texts match nothing but inherit; a null path
     inherits nothing. Repeated rows give equal rows. An empty table gives none.
     """
     docs = docs.select("path", "text")
-    idf, other = term_weights(docs)
-    units = materialize(_units(docs, idf, other), "license-units")
+    weights, _ = term_weights(docs, vocabulary=sorted({*VOCABULARY, *WHOLE_VOCABULARY}))
+    idf, whole_idf = {t: weights[t] for t in VOCABULARY}, {t: weights[t] for t in WHOLE_VOCABULARY}
+    other = sum(idf.values()) / len(idf)
+    near = materialize(_near(docs, idf, whole_idf), "license-near")
+    units = materialize(_units(docs, idf, other).unionAll(_runs(near)), "license-units")
     lines = materialize(_matches(units, idf, other), "license-lines")
     found = units.drop("text").join(lines, "key").where(F.col("cosine") >= F.when(F.col("kind") == "header", LINE_COSINE).otherwise(FILE_COSINE))
+    whole = near.where(F.exists("bounds", lambda b: b["size"] == 0)).select("path", F.sha2("text", 256).alias("key"), "text", F.lit("file").alias("kind"))
+    found = found.unionAll(whole.drop("text").join(_matches(whole, whole_idf, other, WHOLE_TEXTS), "key").where(F.col("cosine") >= WHOLE_COSINE))
     own = found.groupBy("path").agg(F.min(F.struct("kind", (-F.col("cosine")).alias("less"), "license")).alias("b"))
     own = own.select(F.col("path").alias("p"), F.col("b.kind").alias("kind"), F.col("b.license").alias("license"), (-F.col("b.less")).alias("cosine"))
     own = materialize(own, "license-own")

@@ -1,6 +1,6 @@
 import random
 
-from creditlake.llm import similar
+from creditlake.llm import licenses, similar
 
 WORDS = [f"w{k}" for k in range(5000)]
 
@@ -30,3 +30,26 @@ def test_similar_documents_by_brute_force(spark):
     kept = sorted(str(x["doc_id"]) for x in similar.drop_similar(docs).collect())
     assert kept == sorted([*map(str, sorted(set(label))), "None"])
     assert similar.drop_similar(docs.limit(0)).count() == 0
+
+
+def test_wrapped_headers_and_whole_licenses(spark):
+    r, code = random.Random(2), []
+    for _ in range(200):
+        code.append(" ".join(r.choice(WORDS) for _ in range(6)))
+    mit, bsd = licenses.WHOLE_TEXTS["MIT"][0], licenses.WHOLE_TEXTS["BSD-3-Clause"][0]
+    gpl = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version."
+    grant = lambda text, at: "\n".join(text[text.index(at) :].split("\n")[:6])
+    heads = {"MIT": grant(mit, "Permission is"), "BSD-3-Clause": grant(bsd, "Redistribution and"), "GPL-3.0": gpl.format(":", "", ",", 3), "GPL-2.0": gpl.format(";", "", ";", 2), "LGPL-3.0": gpl.format(":", "Lesser ", ",", 3)}
+    rows, want = [(f"p/{k}", "\n".join(r.sample(code, 20))) for k in range(40)], {f"p/{k}": (None, None) for k in range(40)}
+    for n, mark in enumerate(("# ", " * ", "// ", "")):
+        for name, head in heads.items():
+            lines = ["Copyright 2020 The Authors", "", *head.split("\n")]
+            rows.append((f"h/{n}{name}", "\n".join([*(mark + x for x in lines), *code])))
+            want[f"h/{n}{name}"] = (name, "header")
+    rows.append(("h/long", "\n".join([heads["MIT"].replace("\n", " "), *code])))
+    want["h/long"] = ("MIT", "header")
+    for name, (text,) in licenses.WHOLE_TEXTS.items():
+        rows += [(f"w/{name}/LICENSE", f"Copyright (c) 2021 Some Body\n\n{text}"), (f"w/{name}/src/x", code[0])]
+        want |= {f"w/{name}/LICENSE": (name, "file"), f"w/{name}/src/x": (name, "inherited")}
+    got = {x["path"]: (x["license"], x["origin"]) for x in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == want
