@@ -18,6 +18,8 @@ REPEATS = 3
 #: Tokens of a shard on average; at least and at most so many shards. Each source is dealt over all shards by hash, so a
 #: source with a third of all rows is spread like the rest.
 SHARD_TOKENS, LEAST_SHARDS, MOST_SHARDS = 5_000_000, 1024, 1 << 16
+#: Documents of a shard on average where whole rows are taken.
+SHARD_DOCUMENTS = 8192
 #: Blocks have so many tokens, or fewer if the smallest target would get under 64 blocks in a shard. Runs of blocks are kept
 #: as their ends, so small blocks cost nothing.
 BLOCK_TOKENS, LEAST_BLOCKS = 1024, 64
@@ -147,14 +149,41 @@ def mix(docs: DataFrame, seed: int = 7, repeats: int = REPEATS, block_tokens: in
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7, repeats: int = REPEATS, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it takes it. A document that is taken in part is one whole
-    row or none, by a seeded draw with that part as its chance, so each source keeps its share. Rows that share an id
-    (null too) each come as often as the most taken of them."""
-    took = mix(docs, seed, repeats, id_col=id_col)
-    part = F.col("taken") / F.greatest("size", F.lit(1))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(1 << 30)) / F.lit(1 << 30)
-    times = took.withColumn("__times", (F.floor(part) + (draw < part - F.floor(part)).cast("int")).cast("int"))
-    times = times.groupBy(F.col("doc_id").alias("__took")).agg(F.max("__times").alias("__times")).where("__times > 0")
+    """The rows of docs that the mix takes, each as often as it takes it, as whole rows.
+
+    Each source lays its documents in one line in seeded order. Its target, in whole words, is some full rounds of the line
+    and the line up to some word: a document is taken once for each round, and once more if that word is beyond its middle.
+    So a source's words miss its target by half a document at most; only a source whose target is less than half of its
+    first document gets that one whole. Rows that share id, source and text count as one document. Documents without
+    words are not taken. The line is cut into shards as the source has documents, and the shards' words are summed up.
+    """
+    skey = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
+    key = [skey.alias("skey"), F.col(id_col).alias("id"), F.xxhash64("text").alias("hash")]
+    sized = docs.select("source", *key, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).where("size > 0")
+    units = materialize(sized.groupBy("source", "skey", "id", "hash").agg(F.sum("size").alias("size")), "mix-units")
+    by_source = units.groupBy("source", "skey").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(by_source) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    if not by_source:
+        return docs.limit(0)
+    # Sources of documents without words keep their place in the order that weights follow.
+    bare = docs.select("source").distinct().limit(MOST_SOURCES + 1).collect()
+    sizes = {r["source"]: 0 for r in bare} | {r["source"]: r["size"] for r in by_source}
+    plan = source_plan(list(sizes), list(sizes.values()), repeats=repeats, block_tokens=1)
+    quota = {None if pd.isna(s) else s: int(q) for s, q in zip(plan["source"], plan["quota"], strict=True)}
+    rows = [(r["skey"], max(1, min(MOST_SHARDS, r["n"] // SHARD_DOCUMENTS)), quota[r["source"]] // r["size"], quota[r["source"]] % r["size"]) for r in by_source]
+    sources = docs.sparkSession.createDataFrame(rows, "skey string, shards long, rounds long, rest long")
+    place = F.xxhash64("id", "hash", F.lit(seed + 1))
+    # The shard is the place's top 31 bits cut into equal stretches, so shards follow each other along the line.
+    top = F.shiftrightunsigned(place.bitwiseXOR(F.lit(-(1 << 63))), 33)
+    placed = units.drop("source").join(F.broadcast(sources), "skey").withColumn("place", place).withColumn("shard", F.shiftright(top * F.col("shards"), 31).cast("int"))
+    lines = placed.groupBy("skey", "shard").agg(F.sum("size").alias("words"))
+    before = lines.select("skey", "shard", (F.sum("words").over(Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("before"))
+    w = Window.partitionBy("skey", "shard").orderBy("place", "id", "hash").rowsBetween(Window.unboundedPreceding, 0)
+    ended = placed.withColumn("in", F.sum("size").over(w)).join(before, ["skey", "shard"]).withColumn("end", F.col("before") + F.col("in"))
+    only = (F.col("rounds") == 0) & (F.col("rest") > 0) & (F.col("end") == F.col("size"))
+    more = (2 * F.col("end") - F.col("size") < 2 * F.col("rest")) | only
+    times = ended.select(F.col("skey").alias("__skey"), F.col("id").alias("__id"), F.col("hash").alias("__hash"), (F.col("rounds") + more.cast("int")).cast("int").alias("__times")).where("__times > 0")
     cols = docs.columns
-    out = docs.withColumn("__id", F.col(id_col)).join(times, F.col("__id").eqNullSafe(F.col("__took")))
+    out = docs.join(times, (skey == F.col("__skey")) & F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
     return out.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*cols)

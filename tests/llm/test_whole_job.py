@@ -1,6 +1,8 @@
 import random
 
-from creditlake.llm import licenses, similar
+import pytest
+
+from creditlake.llm import licenses, mixing, similar
 
 WORDS = [f"w{k}" for k in range(5000)]
 
@@ -53,3 +55,28 @@ def test_wrapped_headers_and_whole_licenses(spark):
         want |= {f"w/{name}/LICENSE": (name, "file"), f"w/{name}/src/x": (name, "inherited")}
     got = {x["path"]: (x["license"], x["origin"]) for x in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("shard", [8192, 3])
+def test_whole_rows_meet_each_source_target(spark, monkeypatch, shard):
+    monkeypatch.setattr(mixing, "SHARD_DOCUMENTS", shard)
+    r, rows = random.Random(7), []
+    for s in [f"s{k}" for k in range(12)] + [None]:
+        for _ in range(r.choice([60, 200])):
+            rows.append((len(rows), "w " * r.randrange(1, 400), s))
+    rows += [(len(rows) + k, "long " * 9000, "few") for k in range(3)]
+    rows += [(None, "same id", "s1"), (None, "other text", "s1"), (3, "same id", "s2"), (5, None, "s3"), (6, "", "zero")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = {s: [len((t or "").split()) for _, t, x in rows if x == s] for s in {x for _, _, x in rows}}
+    plan = mixing.source_plan(list(words), [sum(w) for w in words.values()], block_tokens=1)
+    target = {None if s is None or s != s else s: t for s, t in zip(plan["source"], plan["target"], strict=True)}
+    got = mixing.mixed_documents(docs).collect()
+    for s, sizes in words.items():
+        took = sum(len((x["text"] or "").split()) for x in got if x["source"] == s)
+        assert abs(took - target[s]) <= max(sizes) / 2 + 1, s
+    often = {}
+    for x in got:
+        often[x] = often.get(x, 0) + 1
+    assert max(often.values()) <= 3 and {tuple(x) for x in got} <= set(rows)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixed_documents(docs).collect()))
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
