@@ -276,9 +276,9 @@ def decode(tokens: DataFrame, model: str, id_col: str = "doc_id", ids_col: str =
 
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_pieces, ids_crc32, n_chars, same) for every row: pieces of the whole text, unsigned crc32 of the ids as
-    little-endian unsigned 32-bit integers, characters of the decoded text, and whether it equals the text (null: empty).
-    One narrow pass; every list of ids is decoded again."""
+    """(id_col, n_pieces, ids_crc32, n_chars, same, ids, decoded) for every row: number of pieces of the whole text, unsigned
+    crc32 of the ids as little-endian unsigned 32-bit integers, characters of the decoded text, whether it equals the text
+    (null: empty), the ids themselves and the decoded text. One narrow pass; every list of ids is decoded again."""
     small_batches(docs.sparkSession)
     shared = shared_model(docs, model)
 
@@ -287,12 +287,14 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
         for b in batches:
             texts = [x or "" for x in _texts(b.column(1))]
             for part in _parts(texts):
-                rows = []
-                for text, ids in zip(texts[part], m.encode(texts[part]), strict=True):
+                rows, coded = [], m.encode(texts[part])
+                for text, ids in zip(texts[part], coded, strict=True):
                     back = m.decode(ids)
-                    rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(back), back == text))
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, part.stop - part.start), *cols], names=["id", "n_pieces", "ids_crc32", "n_chars", "same"])
+                    rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(back), back == text, back))
+                *cols, decoded = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()), strict=True)]
+                ends = pa.array(np.r_[0, np.cumsum([len(x) for x in coded])].astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(coded).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, part.stop - part.start), *cols, lists, decoded], names=["id", "n_pieces", "ids_crc32", "n_chars", "same", "ids", "decoded"])
 
     kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n_pieces long, ids_crc32 long, n_chars long, same boolean").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n_pieces long, ids_crc32 long, n_chars long, same boolean, ids array<int>, decoded string").withColumnRenamed("id", id_col)

@@ -1,8 +1,12 @@
 import random
+import zlib
 
+import numpy as np
+import public_tokenizers as P
 import pytest
 
-from creditlake.llm import licenses, mixing, similar
+import corpus_pipeline
+from creditlake.llm import licenses, mixing, pieces, similar
 
 WORDS = [f"w{k}" for k in range(5000)]
 
@@ -80,3 +84,16 @@ def test_whole_rows_meet_each_source_target(spark, monkeypatch, shard):
     assert max(often.values()) <= 3 and {tuple(x) for x in got} <= set(rows)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mixed_documents(docs).collect()))
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_piece_ids_and_texts_are_returned(spark):
+    texts = {1: "One two  three", 2: "é ▁ \0 x", 3: "", 4: None, 5: "word " * 500}
+    docs = spark.createDataFrame([(k, t, "s") for k, t in texts.items()], "doc_id long, text string, source string")
+    model = pieces.Unigram.from_model(P.path("piece_bpe_32k.model"))
+    for got in (pieces.round_trip(docs, P.path("piece_bpe_32k.model")), corpus_pipeline.encode(spark, docs, "")):
+        rows = {x["doc_id"]: x for x in got.collect()}
+        assert sorted(rows) == sorted(texts)
+        for k, text in texts.items():
+            assert rows[k]["ids"] == model.encode([text or ""])[0].tolist() and rows[k]["decoded"] == (text or "")
+            assert len(rows[k]["ids"]) == rows[k]["n_pieces"]
+            assert zlib.crc32(np.array(rows[k]["ids"], "<u4").tobytes()) == rows[k]["ids_crc32"]
