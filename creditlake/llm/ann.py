@@ -187,7 +187,7 @@ def _answers(k: int):
                 q = np.frombuffer(row["vectors"], "<f8").reshape(len(qid), -1)
                 out: list[list[np.ndarray]] = [[], [], []]
                 for at in range(0, len(qid), 256):
-                    found = g.search(q[at : at + 256], min(BEAM, len(g.ids)) if len(g.ids) > k else max(1, len(g.ids)))
+                    found = g.search(q[at : at + 256], max(1, min(max(BEAM, 2 * (k + 1)), len(g.ids))))
                     for r, near in enumerate(found):
                         near = near[near >= 0]
                         score = (g.x[near] * q[at + r]).sum(axis=1)

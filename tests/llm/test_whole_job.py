@@ -6,7 +6,7 @@ import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
-from creditlake.llm import licenses, mixing, pieces, similar
+from creditlake.llm import ann, licenses, mixing, pieces, similar
 
 WORDS = [f"w{k}" for k in range(5000)]
 
@@ -97,3 +97,10 @@ def test_piece_ids_and_texts_are_returned(spark):
             assert rows[k]["ids"] == model.encode([text or ""])[0].tolist() and rows[k]["decoded"] == (text or "")
             assert len(rows[k]["ids"]) == rows[k]["n_pieces"]
             assert zlib.crc32(np.array(rows[k]["ids"], "<u4").tobytes()) == rows[k]["ids_crc32"]
+
+
+def test_more_neighbours_than_the_beam(spark):
+    x = np.random.default_rng(4).normal(size=(600, 8))
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(vectors, k=200, every=100).groupBy("query_id").count().collect()
+    assert len(got) == 6 and all(r["count"] == 200 for r in got)
