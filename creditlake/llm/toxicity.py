@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import blocks
-from .common import materialize, small_batches
+from .common import materialize
 from .terms import Hasher, held_out, labelled_sample
 
 #: Terms are hashed so wide that strangers rarely meet; words count with their stems of these lengths.
 BITS, STEMS = 40, (4, 5, 6)
 #: The fit's bounds: labelled documents, terms (the most telling of those in at least LEAST_DOCS of them), factors.
 SAMPLE, MOST_TERMS, LEAST_DOCS, LEAST_CHI, FACTORS = 12_000, 4096, 4, 10.0, 8
+#: Terms whose pairs are looked at: the most frequent ones of the sample, of those in at least a fiftieth of it and in
+#: PAIR_DOCS documents; as many pairs at most bring their terms in.
+PAIR_TERMS, PAIR_DOCS = 2048, 8
 HELD_FOLDS, HELD_FOLD = 3, 1
 THRESHOLD = 0.7
 
@@ -85,8 +88,13 @@ def fit(terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray, factors: int =
     return m
 
 
-def telling(hashed: DataFrame, n: int, positive: int, most: int = MOST_TERMS) -> np.ndarray:
-    """Sorted terms of enough documents whose presence and the label depend on each other most, by chi-squared."""
+def _chi(pos, df, n: int, p: float):
+    """Chi-squared, one degree of freedom, of a feature in df of n documents, pos of them positive, the share p of all."""
+    return (pos - df * p) ** 2 / np.maximum(df * max(p * (1 - p), 1e-9) * np.maximum(1 - df / max(1, n), 1 / max(1, n)), 1e-12)
+
+
+def term_counts(hashed: DataFrame) -> DataFrame:
+    """(term, df, pos): documents of the sample with each term, and the positive ones among them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,17 +104,46 @@ def telling(hashed: DataFrame, n: int, positive: int, most: int = MOST_TERMS) ->
             pos = np.bincount(at, np.repeat(labels, [len(x) for x in each]), len(ids)).astype(np.int64) if len(ids) else df
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(df.astype(np.int64)), pa.array(pos)], names=["term", "df", "pos"])
 
-    stats = hashed.select("label", "terms").mapInArrow(count, "term long, df long, pos long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
+    return hashed.select("label", "terms").mapInArrow(count, "term long, df long, pos long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
+
+
+def telling(counts: DataFrame, n: int, positive: int, most: int = MOST_TERMS) -> np.ndarray:
+    """Sorted terms whose presence and the label depend on each other most, by chi-squared."""
     p = positive / max(1, n)
     chi = F.pow(F.col("pos") - F.col("df") * p, 2) / (F.col("df") * max(p * (1 - p), 1e-9) * F.greatest(1 - F.col("df") / max(1, n), F.lit(1 / max(1, n))))
-    top = stats.where((F.col("df") >= min(LEAST_DOCS, max(1, n // 50))) & (chi >= LEAST_CHI)).orderBy(chi.desc(), "term").limit(most)
-    return np.sort(np.array([r["term"] for r in top.select("term").collect()], np.int64))
+    return np.sort(np.array([r["term"] for r in counts.where(chi >= LEAST_CHI).orderBy(chi.desc(), "term").limit(most).select("term").collect()], np.int64))
+
+
+def telling_pairs(rows: list[np.ndarray], y: np.ndarray, frequent: np.ndarray, terms: int, most: int = PAIR_TERMS) -> np.ndarray:
+    """Positions of terms that tell in pairs: both together depend on the label by more than chance among so many pairs, and
+    by clearly more than either alone. So words that tell nothing apart, such as insult and group, come in too.
+
+    rows: positions below `terms` of each document; frequent: the positions whose pairs count. Memory: len(frequent) ** 2."""
+    n, k, p = len(rows), len(frequent), float(y.mean()) if len(y) else 0.0
+    if k < 2:
+        return np.empty(0, np.int64)
+    at = np.full(terms, -1)
+    at[frequent] = np.arange(k)
+    both, good = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+    for lo in range(0, n, 1024):
+        part = rows[lo : lo + 1024]
+        x = np.zeros((len(part), k + 1), np.float32)
+        x[np.repeat(np.arange(len(part)), [len(r) for r in part]), at[np.concatenate(part)]] = 1  # others land in the spare column
+        x = x[:, :k]
+        both += x.T @ x
+        x = x[y[lo : lo + 1024] > 0]
+        good += x.T @ x
+    alone = _chi(np.diag(good), np.diag(both), n, p)
+    chi = _chi(good, both, n, p)
+    found = (both >= PAIR_DOCS) & (chi >= 2 * np.log(k * (k - 1) / 2)) & (chi >= np.maximum(alone[:, None], alone[None]) + LEAST_CHI)
+    i, j = np.nonzero(np.triu(found, 1))
+    top = np.argsort(-chi[i, j], kind="stable")[:most]
+    return np.unique(frequent[np.r_[i[top], j[top]]])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> FactorizationMachine:
-    """Fit on a bounded sample of labelled rows outside the held-out fold. The driver gets MOST_TERMS terms, and of each
-    sampled document the positions of those that it has."""
-    small_batches(docs.sparkSession)
+    """Fit on a bounded sample of labelled rows outside the held-out fold, over the terms that tell alone or in pairs. The
+    driver gets MOST_TERMS and PAIR_TERMS terms, and of `sample` documents the positions of those that each has."""
 
     def hash_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(BITS, STEMS)
@@ -116,15 +153,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     some = labelled_sample(docs, labels, "toxic", held_out(id_col, HELD_FOLDS, HELD_FOLD), sample, id_col, text_col)
     hashed = materialize(some.select(F.col("id").cast("string").alias("id"), "text", "label").mapInArrow(hash_terms, "id string, label int, terms binary"), "toxic-sample")
     n, positive = hashed.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    terms = telling(hashed, n, positive)
+    counts = materialize(term_counts(hashed).where(F.col("df") >= min(LEAST_DOCS, max(1, n // 50))), "toxic-terms")
+    single = telling(counts, n, positive)
+    often = counts.where(F.col("df") >= max(PAIR_DOCS, n / 50)).orderBy(F.col("df").desc(), "term").limit(PAIR_TERMS).select("term").collect()
+    often = np.array([r["term"] for r in often], np.int64)
+    terms = np.union1d(single, often)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = FactorizationMachine(terms, 0.0, np.empty(0), np.empty((0, 0)))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m.known(np.frombuffer(x.as_buffer(), "<i8")).astype("<i4").tobytes() for x in b.column(2)], pa.binary())], names=["id", "label", "at"])
 
-    rows = hashed.mapInArrow(place, "id string, label int, at binary").orderBy("id", "at").collect()
-    return fit(terms, [np.frombuffer(r["at"], "<i4") for r in rows], np.array([float(r["label"]) for r in rows]))
+    # Ids that repeat can give more rows than were sampled; the driver takes `sample` of them.
+    got = hashed.mapInArrow(place, "id string, label int, at binary").orderBy("id", "at").limit(sample).collect()
+    rows, y = [np.frombuffer(r["at"], "<i4") for r in got], np.array([float(r["label"]) for r in got])
+    keep = np.union1d(np.searchsorted(terms, single), telling_pairs(rows, y, np.searchsorted(terms, often), len(terms))).astype(np.int64)
+    to = np.full(len(terms), -1)
+    to[keep] = np.arange(len(keep))
+    return fit(terms[keep], [(x := to[r])[x >= 0] for r in rows], y)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -133,7 +179,6 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
     Null and empty texts score as texts without known terms. A null id gives held_out false. Other columns aren't read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # MOST_TERMS rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +197,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text scores below the threshold, with all their columns; scored in one narrow pass."""
-    small_batches(docs.sparkSession)
+    """The rows of docs whose text scores below the threshold, with all their columns, whatever their names; scored in one
+    narrow pass. Null and empty texts have no known terms and stay unless most of the sample is toxic; null ids, repeated
+    rows and ties are judged by their text alone. An empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col))
     at = docs.columns.index(text_col)
 
