@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import BLOCK_BYTES, Known, spread
-from .common import small_batches
 
 #: The white-space marker that stands for a blank inside pieces.
 MARK = "▁"
 _MARK = MARK.encode()
+#: Longer units than this many bytes are searched one by one, so that one long word doesn't make a step of each byte.
+LONG_UNIT = 512
 
 
 class DoubleArrayTrie:
@@ -122,11 +123,13 @@ class Unigram:
         return out
 
     def _segment(self, chunks: list[bytes]) -> list[bytes]:
-        """Viterbi over all chunks at the same time: step p extends the best ways that end at byte p of each chunk."""
+        """Viterbi over all chunks at the same time. Every way passes a byte that no piece spans, so chunks are cut there
+        into units; step p extends the best ways that end at byte p of each unit, and long units go one by one."""
         literal = [k for k, c in enumerate(chunks) if c.startswith(b"\0")]  # a marker or NUL of the text itself
         size = np.array([len(c) for c in chunks], np.int64)
         data = np.frombuffer(b"".join(chunks), np.uint8)
-        own = np.repeat(np.arange(len(chunks)), size)
+        if not len(data):
+            return [b""] * len(chunks)
         first = np.cumsum(size) - size
         starts = np.flatnonzero((data & 0xC0) != 0x80)
         s, e, v = self.trie.matches(data, np.repeat(first + size, size), starts)
@@ -135,46 +138,68 @@ class Unigram:
         whole = np.zeros(len(data) + 1, bool)
         whole[s[e - s == (width[np.searchsorted(starts, s)] if len(s) else 0)]] = True
         bare = ~whole[starts]
+        gain = np.concatenate([np.array(self.scores)[v], self.byte_score * width[bare]])
         s, e = np.concatenate([s, starts[bare]]), np.concatenate([e, (starts + width)[bare]])
         v = np.concatenate([v, np.full(bare.sum(), -1)])
-        gain = np.concatenate([np.array(self.scores)[v[: len(v) - bare.sum()]], self.byte_score * width[bare]])
-        rel = s - first[own[s]] if len(s) else s
+        spans = np.cumsum(np.bincount(s + 1, minlength=len(data) + 1) - np.bincount(e, minlength=len(data) + 1))
+        cut = spans[:-1] == 0
+        cut[first[size > 0]] = True
+        own = np.cumsum(cut) - 1
+        begin = np.flatnonzero(cut)
+        length = np.diff(np.r_[begin, len(data)])
+        rel = s - begin[own[s]]
         order = np.argsort(rel, kind="stable")
-        rel, gain, v = rel[order], gain[order], v[order]
-        frm, to = (s + own[s])[order], (e + own[s])[order]  # each chunk has a slot more than bytes, for its end
-        slots = len(data) + len(chunks)
+        rel, gain, v, unit = rel[order], gain[order], v[order], own[s][order]
+        frm, to = s[order] + unit, e[order] + unit  # each unit has a slot more than bytes, for its end
+        slots = len(data) + len(begin)
         best, back, piece = np.full(slots, -np.inf), np.zeros(slots, np.int64), np.full(slots, -1)
-        begin = first + np.arange(len(chunks))
+        begin = begin + np.arange(len(begin))
         best[begin] = 0
-        cut = np.searchsorted(rel, np.arange(int(size.max(initial=0)) + 1))
-        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        for k in np.flatnonzero(length > LONG_UNIT).tolist():
+            self._long(np.flatnonzero(unit == k), int(begin[k]), int(length[k]), frm, to, gain, v, back, piece)
+        short = np.flatnonzero(length[unit] <= LONG_UNIT)
+        at_step = np.searchsorted(rel[short], np.arange(int(length[length <= LONG_UNIT].max(initial=0)) + 1))
+        for lo, hi in zip(at_step[:-1].tolist(), at_step[1:].tolist(), strict=True):
             # ends are different within a step, as each start has one key of a length
-            new = best[frm[lo:hi]] + gain[lo:hi]
-            better = np.flatnonzero(new > best[to[lo:hi]]) + lo
-            at = to[better]
-            best[at], back[at], piece[at] = new[better - lo], frm[better], v[better]
-        at, chunk, steps = begin + size, np.arange(len(chunks)), []
-        while len(at := at[go := at > begin[chunk]]):
-            chunk = chunk[go]
-            steps.append((chunk, back[at], at, piece[at]))
+            now = short[lo:hi]
+            new = best[frm[now]] + gain[now]
+            better = np.flatnonzero(new > best[to[now]])
+            now = now[better]
+            at = to[now]
+            best[at], back[at], piece[at] = new[better], frm[now], v[now]
+        at, which, steps = begin + length, np.arange(len(begin)), []
+        while len(at := at[go := at > begin[which]]):
+            which = which[go]
+            steps.append((which, back[at], at, piece[at]))
             at = back[at]
-        if not steps:
-            return [b""] * len(chunks)
-        chunk, frm, to, v = (np.concatenate(x) for x in zip(*steps, strict=True))
+        which, frm, to, v = (np.concatenate(x) for x in zip(*steps, strict=True))
         order = np.argsort(frm, kind="stable")
-        chunk, frm, to, v = chunk[order], frm[order], to[order], v[order]
+        which, frm, to, v = which[order], frm[order], to[order], v[order]
         n = np.where(v < 0, to - frm, 1)
         ids = np.repeat(np.array(self.ids)[v], n)
         raw = np.repeat(v < 0, n)
-        byte = np.repeat(frm - chunk, n) + (np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n))
+        byte = np.repeat(frm - which, n) + (np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n))
         ids[raw] = np.array(self.bytes_)[data[byte[raw]]]
         flat = ids.astype("<u4").tobytes()
+        chunk = np.repeat(np.arange(len(chunks)), size)[frm - which]
         ends = (4 * np.cumsum(np.bincount(chunk, n, len(chunks)))).astype(np.int64).tolist()
         out = [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         for k in literal:
             out[k] = array("I", [self.bytes_[b] for b in (_MARK if chunks[k] == b"\0M" else chunks[k])]).tobytes()
         return out
 
+    @staticmethod
+    def _long(matches: np.ndarray, begin: int, length: int, frm: np.ndarray, to: np.ndarray, gain: np.ndarray, v: np.ndarray, back: np.ndarray, piece: np.ndarray) -> None:
+        """The best ways of one unit, match by match in order of their starts; fills its slots of back and piece."""
+        best, came, by = [-float("inf")] * (length + 1), [0] * (length + 1), [-1] * (length + 1)
+        best[0] = 0.0
+        for f, t, g, p in zip((frm[matches] - begin).tolist(), (to[matches] - begin).tolist(), gain[matches].tolist(), v[matches].tolist(), strict=True):
+            new = best[f] + g
+            if new > best[t]:
+                best[t], came[t], by[t] = new, f, p
+        back[begin : begin + length + 1] = np.array(came, np.int64) + begin
+        piece[begin : begin + length + 1] = by
+
     def chunks(self, text: str) -> list[str]:
         """Blanks become markers, then the text is cut before each run of markers. A marker or NUL of the text itself is a
         chunk of its own, led by NUL."""
@@ -244,7 +269,6 @@ def _texts(column: pa.Array) -> list[str | None]:
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids array<int>) of every whole text; null and empty texts have no ids. Other columns aren't read."""
-    small_batches(docs.sparkSession)
     shared = shared_model(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +287,6 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
 def decode(tokens: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, text) of every list of ids; a null list gives a null text."""
-    small_batches(tokens.sparkSession)
     shared = shared_model(tokens, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,8 +301,9 @@ def decode(tokens: DataFrame, model: str, id_col: str = "doc_id", ids_col: str =
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_pieces, ids_crc32, n_chars, same, ids, decoded) for every row: number of pieces of the whole text, unsigned
     crc32 of the ids as little-endian unsigned 32-bit integers, characters of the decoded text, whether it equals the text
-    (null: empty), the ids themselves and the decoded text. One narrow pass; every list of ids is decoded again."""
-    small_batches(docs.sparkSession)
+    (null: empty), the ids themselves and the decoded text. One narrow pass; every list of ids is decoded again.
+
+    Null ids and repeated rows give a row each, an empty table none. Columns other than the two named aren't read."""
     shared = shared_model(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
