@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, shared_dir, small_batches
+from .common import filesystem, materialize, shared_dir
 
 CRLF = b"\r\n"
 #: A file is closed beyond this size, so that a task holds one file open and readers get even shares.
 FILE_BYTES = 256 << 20
 #: Ranges that are nearer than this are read at once, up to this much.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+#: Records are dealt to read tasks by stretches of a file; a task reads about so much.
+STRETCH_BYTES, TASK_BYTES, MOST_TASKS = 4 << 20, 64 << 20, 1 << 17
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -105,7 +107,6 @@ def write_archives(pages: DataFrame, folder: str, min_dedup_bytes: int = 0) -> D
     revisits like any other. Repeated rows with the largest page_id are responses all. An empty table gives an empty index.
     Other columns are ignored.
     """
-    small_batches(pages.sparkSession)
     html = F.coalesce("html", F.lit(""))
     hashed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.unhex(F.sha1(html.cast("binary"))).alias("sha"), F.octet_length(html).alias("n"))
     # The digests alone are grouped, with map-side combining; the join is an ordinary one, which AQE splits at hot digests.
@@ -164,9 +165,11 @@ def read_records(index: DataFrame, keep_payload: bool = True) -> DataFrame:
 
     The index rows are dealt by stretches of a file and sorted, so that each task reads forward and neighbours share a read.
     """
-    small_batches(index.sparkSession)
-    stretch = F.floor(F.col("offset") / (4 * READ_BYTES))
-    dealt = index.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
+    # A given number of partitions, from the bytes to be read: by the size of the index rows, AQE would merge them to one task.
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    stretch = F.floor(F.col("offset") / STRETCH_BYTES)
+    dealt = index.select("file", "offset", "length").repartition(int(min(tasks, MOST_TASKS)), "file", stretch).sortWithinPartitions("file", "offset")
     read = dealt.mapInArrow(_read, READ)
     if keep_payload:
         return read
