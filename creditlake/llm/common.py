@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _unset: list[str] = []
 
@@ -15,10 +17,13 @@ _unset: list[str] = []
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder's URI below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is unset, as in local tests, a folder of this machine stands in for it.
+    Only where that setting is unset and the master is local, as in tests, a folder of this machine stands in for it; on a
+    cluster its executors would each write to their own disk, so there an unset folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _unset:
             _unset.append("file://" + tempfile.mkdtemp(prefix="creditlake-"))
         base = _unset[0]
@@ -26,6 +31,14 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/creditlake/{tag}-{uuid.uuid4().hex}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, tag)
@@ -42,8 +55,12 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch to Python may hold, for tables with very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    """Bound the rows of an Arrow batch to Python in this session, from now on, as frames are run after they are returned:
+    ten thousand texts of a few kilobytes a batch cost each executor some 300 MB. A smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -53,6 +70,14 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def one_row_each(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of docs without the ids in `gone`, one of each other id, and all without id."""
+    nth = free_name(docs, "nth")
+    order = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
+    kept = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").withColumn(nth, order).where(F.col(nth) == 1)
+    return kept.select(*docs.columns).unionAll(docs.where(F.col(id_col).isNull()))
+
+
 def components_of(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
     """Smallest reachable position for each of n positions under the edges (i, j); label: a start that is refined."""
     label = np.arange(n) if label is None else label

@@ -8,11 +8,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import components_of, materialize, small_batches
+from .common import components_of, materialize, one_row_each, small_batches
 
 SEED = 42
 #: The fingerprint is cut into six blocks. Two changed bits touch two blocks at most, so linked fingerprints share four:
@@ -110,24 +110,28 @@ def bucket_links(table: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between the representatives of linked fingerprints, from rows sorted by table and bucket key."""
-    rest = None
-    for b in (*batches, None):
-        if b is not None:
-            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            if not len(rest[0]):
-                continue
-            last = np.flatnonzero((rest[0] != rest[0][-1]) | (rest[1] != rest[1][-1]))
-            cut = last[-1] + 1 if len(last) else 0  # the last bucket may go on in the next batch
-        elif rest is None:
-            return
-        else:
-            cut = len(rest[0])
-        if cut:
-            node, to = bucket_links(rest[0][:cut], rest[2][:cut].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(rest[3][node]), pa.array(rest[3][to])], names=["a", "b"])
-            rest = [x[cut:] for x in rest]
+    """Edges between the representatives of linked fingerprints, from rows sorted by table and bucket key.
+
+    One bucket at most is held over from batch to batch, as a list of pieces that is joined once when the bucket ends."""
+
+    def done(pieces: list[list[np.ndarray]]) -> pa.RecordBatch:
+        table, _, fps, reps = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        node, to = bucket_links(table, fps.view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(reps[node]), pa.array(reps[to])], names=["a", "b"])
+
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        last = (now[0][-1], now[1][-1])
+        cut = int(np.argmax((now[0] == last[0]) & (now[1] == last[1])))  # the last bucket may go on in the next batch
+        if cut or (held and last != (held[-1][0][-1], held[-1][1][-1])):
+            yield done([*held, [x[:cut] for x in now]])
+            held = []
+        held.append([x[cut:] for x in now])
+    if held:
+        yield done(held)
 
 
 def linked(fingerprints: DataFrame) -> DataFrame:
@@ -159,9 +163,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows of docs, one for each group of near-duplicates: that with the smallest id (one of them if it repeats).
-    Rows with a null id are all kept."""
+    """The rows of docs, one for each group of near-duplicates: that with the smallest id. All rows of one id are one group;
+    of those with the smallest id the one with the least text hash stays, then the least text, so reruns agree. Rows with a
+    null id are all kept, and any other columns, whatever their names."""
     gone = near_duplicates(docs, id_col, text_col, width).where(F.col(id_col) > F.col("component_id")).select(F.col(id_col)).distinct()
-    once = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))  # sorted and dealt by id already
-    kept = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").select("*", once.alias("__nth")).where("__nth = 1")
-    return kept.select(*docs.columns).unionAll(docs.where(F.col(id_col).isNull()))
+    return one_row_each(docs, gone, id_col, text_col)
