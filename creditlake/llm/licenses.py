@@ -28,6 +28,7 @@ TEMPLATES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "GPL-1.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version."],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
@@ -36,6 +37,8 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
+    "LGPL-2.0": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
     "LGPL-3.0": [
         "This library is licensed under the GNU Lesser General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -46,12 +49,13 @@ TEMPLATES = {
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
-#: Licences whose whole texts lie in license_texts. BSD-2-Clause is there so that it isn't taken for BSD-3-Clause.
-WHOLE = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MIT", "MPL-2.0"]
+#: Licences whose whole texts lie in license_texts; older versions are there so that they aren't taken for later ones.
+WHOLE = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0"]
 #: A term is a run of ASCII letters and digits, or of letters outside ASCII with them.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Least cosines of a line or a run of lines, of a whole text to opening words, and of a whole text to a whole licence.
-LINE_COSINE, FILE_COSINE, WHOLE_COSINE = 0.8, 0.6, 0.8
+#: Least cosines of a line or a run of lines, of a whole text to opening words, and of a whole text to a whole licence, and
+#: how far the best whole licence must be ahead of the next one.
+LINE_COSINE, FILE_COSINE, WHOLE_COSINE, MARGIN = 0.8, 0.8, 0.92, 0.01
 #: So many of a whole licence's heaviest terms tell whether a text can reach the least cosine.
 HEAVY = 40
 #: Marks the first term of a line (a private character).
@@ -69,6 +73,9 @@ def _terms(text: Column) -> Column:
 VOCABULARY = sorted({t for ts in TEMPLATES.values() for x in ts for t in python_terms(x)})
 WHOLE_TEXTS = {x: [pkgutil.get_data(__package__, f"license_texts/{x}.txt").decode()] for x in WHOLE}
 WHOLE_VOCABULARY = sorted({t for ts in WHOLE_TEXTS.values() for x in ts for t in python_terms(x)})
+#: idf among the whole licences: what tells them apart weighs most, and so does a term that none of them has.
+WHOLE_IDF = {t: log((1 + len(WHOLE)) / (1 + sum(t in python_terms(x) for ts in WHOLE_TEXTS.values() for x in ts))) + 1 for t in WHOLE_VOCABULARY}
+WHOLE_OTHER = log(1 + len(WHOLE)) + 1
 
 
 def term_weights(docs: DataFrame, text_col: str = "text", vocabulary: list[str] = VOCABULARY) -> tuple[dict[str, float], float]:
@@ -83,8 +90,6 @@ def term_weights(docs: DataFrame, text_col: str = "text", vocabulary: list[str]
     return idf, sum(idf.values()) / len(idf)
 
 
-
-
 def _local(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     """Rows of words and numbers as a relation in the plan itself."""
     shown = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows)
@@ -131,35 +136,35 @@ def _covers(terms: Column, bound: Column) -> Column:
 
 
 def _near(docs: DataFrame, idf: dict[str, float], whole_idf: dict[str, float]) -> DataFrame:
-    """(path, text, bounds) of the texts that hold enough of some template or whole licence, with these."""
+    """(doc, text, bounds) of the texts that hold enough of some template or whole licence, with these."""
     bounds, known = _bounds(idf, whole_idf)
     mine = F.transform(F.array(F.array_distinct(F.filter(_terms(F.col("text")), lambda x: x.isin(known)))), lambda terms: F.filter(bounds, lambda b: _covers(terms, b)))[0]
-    return docs.where("text IS NOT NULL").select("path", "text", mine.alias("bounds")).where(F.size("bounds") > 0)
+    return docs.where("text IS NOT NULL").select("doc", "text", mine.alias("bounds")).where(F.size("bounds") > 0)
 
 
 def _runs(near: DataFrame) -> DataFrame:
-    """(path, key, text, kind): for each template that a text may hold, the runs of as many terms that start with a line,
+    """(doc, key, text, kind): for each template that a text may hold, the runs of as many terms that start with a line,
     however the lines are broken, where they hold enough of it."""
     marked = F.regexp_replace("text", "(?:^|\n)" + BETWEEN[:-1] + "*", f" {LINE}")
-    rows = near.select("path", F.filter(_terms(marked), lambda x: x != LINE).alias("terms"), F.explode(F.filter("bounds", lambda b: b["size"] > 0)).alias("b"))
+    rows = near.select("doc", F.filter(_terms(marked), lambda x: x != LINE).alias("terms"), F.explode(F.filter("bounds", lambda b: b["size"] > 0)).alias("b"))
 
     def run(at: Column) -> Column:
         return F.transform(F.slice("terms", at, F.col("b.size")), lambda x: F.translate(x, LINE, ""))
 
     starts = F.filter(F.sequence(F.lit(1), F.size("terms")), lambda at: F.startswith(F.get("terms", at - 1), F.lit(LINE)))
     held = F.filter(starts, lambda at: _covers(run(at), F.col("b")))
-    rows = rows.where(F.size("terms") > 0).select("path", F.explode(F.transform(held, lambda at: F.array_join(run(at), " "))).alias("text")).distinct()
-    return rows.select("path", F.sha2("text", 256).alias("key"), "text", F.lit("header").alias("kind"))
+    rows = rows.where(F.size("terms") > 0).select("doc", F.explode(F.transform(held, lambda at: F.array_join(run(at), " "))).alias("text")).distinct()
+    return rows.select("doc", F.sha2("text", 256).alias("key"), "text", F.lit("header").alias("kind"))
 
 
 def _units(docs: DataFrame, idf: dict[str, float], other: float) -> DataFrame:
-    """(path, key, text, kind): lines and whole texts that can reach the least cosine.
+    """(doc, key, text, kind): lines and whole texts that can reach the least cosine.
 
     A template's terms are all known, so cos^2 <= a / (a + b), where a sums the squared weights of a unit's known terms and
     b those of its different other terms, once each: what this leaves out is below the threshold. A looser bound on a, from
     the number of known terms, comes first."""
-    lines = docs.select("path", F.explode(F.split("text", "\n")).alias("text"), F.lit("header").alias("kind"))
-    files = docs.select("path", "text", F.lit("file").alias("kind"))
+    lines = docs.select("doc", F.explode(F.split("text", "\n")).alias("text"), F.lit("header").alias("kind"))
+    files = docs.select("doc", "text", F.lit("file").alias("kind"))
     least = F.when(F.col("kind") == "header", LINE_COSINE).otherwise(FILE_COSINE) ** 2
     weight = F.create_map(*[F.lit(x) for pair in sorted(idf.items()) for x in pair])
 
@@ -171,12 +176,12 @@ def _units(docs: DataFrame, idf: dict[str, float], other: float) -> DataFrame:
 
     # The lambdas bind the terms and the known ones, so that each is made once for a unit.
     reach = F.transform(F.array(_terms(F.col("text"))), lambda t: F.transform(F.array(F.filter(t, lambda x: x.isin(VOCABULARY))), lambda k: may(t, k))[0])[0]
-    return lines.unionAll(files).where(reach).select("path", F.sha2("text", 256).alias("key"), "text", "kind")
+    return lines.unionAll(files).where(reach).select("doc", F.sha2("text", 256).alias("key"), "text", "kind")
 
 
 def _matches(units: DataFrame, idf: dict[str, float], other: float, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """(key, license, cosine) of each different unit: its best template, ties to the first licence. A digest stands for the
-    text wherever rows multiply."""
+    """(key, license, cosine, lead) of each different unit: its best template, ties to the first licence, and how far it is
+    ahead of the best one of another licence. A digest stands for the text wherever rows multiply."""
     spark = units.sparkSession
     weights = F.broadcast(_local(spark, sorted(idf.items()), "term, idf"))  # the template terms
     terms = units.select("key", "text").dropDuplicates(["key"]).select("key", F.explode(_terms(F.col("text"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
@@ -184,46 +189,50 @@ def _matches(units: DataFrame, idf: dict[str, float], other: float, templates: d
     norm = terms.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = terms.join(F.broadcast(template_table(spark, idf, templates)), "term").groupBy("key", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     cos = dots.join(norm, "key").select("key", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"))
-    best = cos.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("b"))
-    return best.select("key", F.col("b.license").alias("license"), (-F.col("b.less")).alias("cosine"))
+    cos = cos.groupBy("key", "license").agg(F.max("cosine").alias("cosine"))
+    best = cos.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("less"), "license"))).alias("all"))  # one for each licence
+    return best.select("key", F.col("all")[0]["license"].alias("license"), (-F.col("all")[0]["less"]).alias("cosine"), (F.coalesce(F.get("all", F.lit(1))["less"], F.lit(0.0)) - F.col("all")[0]["less"]).alias("lead"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(path, license, origin, cosine, from_path) for every row of docs (path, text).
+def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, *keep, license, origin, cosine, from_path) for every row of docs (path, text); keep names columns to carry.
 
-    origin: 'file' if the whole text is a licence (cosine of at least 0.6 to a template, 0.8 to a licence's whole text),
-    'header' if a line is, or a run of terms from a line's start that is as long as a template (0.8), each the best one;
-    else 'inherited' from the nearest directory above, its own first, that holds a licence file (the best of a directory,
-    then the smallest path); else null, with a null license. Null and empty texts match nothing but inherit; a null path
-    inherits nothing. Repeated rows give equal rows. An empty table gives none.
+    origin: 'file' if the whole text is a licence (cosine of at least 0.8 to a template, or 0.92 to a licence's whole text
+    and 0.01 ahead of any other), 'header' if a line is, or a run of terms from a line's start that is as long as a template
+    (0.8), each the best one, which hang on the text alone; else 'inherited' from the nearest directory above, its own
+    first, that holds a licence file (the best of a directory, then the smallest path, then the first licence); else null,
+    with a null license. Null and empty texts match nothing but inherit; a null path inherits nothing and passes nothing on.
+    Repeated rows give equal rows. An empty table gives none. Other columns aren't read.
     """
-    docs = docs.select("path", "text")
-    weights, _ = term_weights(docs, vocabulary=sorted({*VOCABULARY, *WHOLE_VOCABULARY}))
-    idf, whole_idf = {t: weights[t] for t in VOCABULARY}, {t: weights[t] for t in WHOLE_VOCABULARY}
-    other = sum(idf.values()) / len(idf)
-    near = materialize(_near(docs, idf, whole_idf), "license-near")
+    docs = docs.select("path", *(F.col(c).alias(f"keep{k}") for k, c in enumerate(keep)), "text", F.sha2("text", 256).alias("doc"))
+    idf, other = term_weights(docs)
+    near = materialize(_near(docs, idf, WHOLE_IDF), "license-near")
     units = materialize(_units(docs, idf, other).unionAll(_runs(near)), "license-units")
     lines = materialize(_matches(units, idf, other), "license-lines")
-    found = units.drop("text").join(lines, "key").where(F.col("cosine") >= F.when(F.col("kind") == "header", LINE_COSINE).otherwise(FILE_COSINE))
-    whole = near.where(F.exists("bounds", lambda b: b["size"] == 0)).select("path", F.sha2("text", 256).alias("key"), "text", F.lit("file").alias("kind"))
-    found = found.unionAll(whole.drop("text").join(_matches(whole, whole_idf, other, WHOLE_TEXTS), "key").where(F.col("cosine") >= WHOLE_COSINE))
-    own = found.groupBy("path").agg(F.min(F.struct("kind", (-F.col("cosine")).alias("less"), "license")).alias("b"))
-    own = own.select(F.col("path").alias("p"), F.col("b.kind").alias("kind"), F.col("b.license").alias("license"), (-F.col("b.less")).alias("cosine"))
+    found = units.drop("text").join(lines, "key").where(F.col("cosine") >= F.when(F.col("kind") == "header", LINE_COSINE).otherwise(FILE_COSINE)).select("doc", "kind", "license", "cosine")
+    whole = near.where(F.exists("bounds", lambda b: b["size"] == 0)).select(F.col("doc").alias("key"), "text")
+    whole = _matches(whole, WHOLE_IDF, WHOLE_OTHER, WHOLE_TEXTS).where((F.col("cosine") >= WHOLE_COSINE) & (F.col("lead") >= MARGIN))
+    found = found.unionAll(whole.select(F.col("key").alias("doc"), F.lit("file").alias("kind"), "license", "cosine"))
+    own = found.groupBy("doc").agg(F.min(F.struct("kind", (-F.col("cosine")).alias("less"), "license")).alias("b"))
+    own = own.select("doc", F.col("b.kind").alias("kind"), F.col("b.license").alias("license"), (-F.col("b.less")).alias("cosine"))
     own = materialize(own, "license-own")
 
     def directory(path: str) -> Column:
         return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).when(F.col(path).isNotNull(), F.lit(""))
 
-    holders = own.where("kind = 'file' AND p IS NOT NULL").groupBy(directory("p").alias("above")).agg(F.min(F.struct((-F.col("cosine")).alias("less"), "p", "license", "cosine")).alias("b"))
-    holders = holders.select("above", F.col("b.p").alias("from_path"), F.col("b.license").alias("got"), F.col("b.cosine").alias("got_cosine"))
+    files = docs.where("path IS NOT NULL").select("path", "doc").join(own.where("kind = 'file'"), "doc")
+    holders = files.groupBy(directory("path").alias("above")).agg(F.min(F.struct((-F.col("cosine")).alias("less"), "path", "license", "cosine")).alias("b"))
+    holders = holders.select("above", F.col("b.path").alias("from_path"), F.col("b.license").alias("got"), F.col("b.cosine").alias("got_cosine"))
     dirs = docs.select(directory("path").alias("dir")).where("dir IS NOT NULL").distinct()
     parts = F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.split("dir", "/"))
     chain = dirs.select("dir", parts.alias("parts")).select("dir", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("parts")), lambda k: F.array_join(F.slice("parts", F.lit(1), k), "/"))).alias("depth", "above"))
     near = chain.join(holders, "above").groupBy("dir").agg(F.max(F.struct("depth", "from_path", "got", "got_cosine")).alias("n")).select("dir", "n.from_path", "n.got", "n.got_cosine")
-    out = docs.select("path", directory("path").alias("dir")).join(own, F.col("path").eqNullSafe(F.col("p")), "left").join(near, "dir", "left")
+    carried = [f"keep{k}" for k in range(len(keep))]
+    out = docs.select("path", *carried, "doc", directory("path").alias("dir")).join(own, "doc", "left").join(near, "dir", "left")
     has = F.col("license").isNotNull()
     return out.select(
         "path",
+        *(F.col(c).alias(n) for c, n in zip(carried, keep, strict=True)),
         F.coalesce("license", "got").alias("license"),
         F.when(has, F.col("kind")).when(F.col("got").isNotNull(), F.lit("inherited")).alias("origin"),
         F.coalesce("cosine", "got_cosine").alias("cosine"),

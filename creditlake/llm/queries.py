@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licenses, mixing, near_vectors, pieces, quality, simhash, token_files, toxicity, warc
+from . import ann, license_sql, licenses, mixing, near_vectors, pieces, quality, simhash, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,11 +57,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no paths; a document stands at source / ten thousands / hundreds / id."""
+    """The table has no paths; a document stands at source / ten thousands / hundreds / id, slashes of a source escaped. A
+    document without id has no path."""
     docs = _table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 10_000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
-    found = licenses.scan(docs.select(path.alias("path"), "text"))
-    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "license", "origin", "cosine", "from_path")
+    folder = F.regexp_replace(F.regexp_replace(F.coalesce("source", F.lit("none")), "%", "%25"), "/", "%2F")
+    path = F.when(F.col("doc_id").isNotNull(), F.concat_ws("/", folder, F.floor(F.col("doc_id") / 10_000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string")))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"), keep=("doc_id",))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -69,8 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 _HEX = "instr('0123456789abcdef', substr(x, {}, 1)) - 1"
 _BASE32 = f"array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((({_HEX.format('j * 5 // 4 + 1')}) * 16 + {_HEX.format('j * 5 // 4 + 2')}) >> (3 - j * 5 % 4)) & 31) + 1), 1) for j in range(32)], '')"
-#: The operators that SQL can express on whole tables; tests hold the others against brute force.
+#: The operators that SQL can express on whole tables; tests hold the others against brute force or held-out rows.
 ORACLE_SQL: dict[str, str] = {
+    "op10_license": license_sql.SQL,
     "op1_warc": f"""WITH s AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS bytes, sha1(coalesce(html, '')) AS x FROM pages),
         g AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS last FROM s)
         SELECT page_id, url, cast(bytes AS bigint) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM g""",
