@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import ChainMap
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A block holds so many bytes of text, or one text that is longer.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def blocks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
@@ -49,18 +50,28 @@ def spread(values: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[
 
 
 class Known:
-    """What a function gives for each chunk, as bytes, kept between blocks for up to `most` chunks."""
+    """What a function gives for each chunk, as bytes, kept between blocks for up to `most` chunks of LONGEST characters at
+    most; longer chunks are rare as repeats, so what they give is kept for their own block alone. A table thus holds
+    most * (LONGEST characters and their values), however long the words of a text are."""
+
+    LONGEST = 48
 
     def __init__(self, of_new: Callable[[list[str]], list[bytes]], most: int = 300_000):
         self.of_new, self.most, self.kept = of_new, most, {}
 
-    def all(self, chunks: list[str]) -> dict[str, bytes]:
+    def all(self, chunks: list[str]) -> Mapping[str, bytes]:
+        """A mapping that has all of these chunks, until the next call."""
         kept = self.kept
         new = [c for c in chunks if c not in kept]
         if len(kept) + len(new) > self.most:
             kept.clear()
             new = chunks
-        kept.update(zip(new, self.of_new(new), strict=True))
+        got = self.of_new(new)
+        if any(len(c) > self.LONGEST for c in new):
+            once = {c: g for c, g in zip(new, got, strict=True) if len(c) > self.LONGEST}
+            kept.update((c, g) for c, g in zip(new, got, strict=True) if len(c) <= self.LONGEST)
+            return ChainMap(once, kept)
+        kept.update(zip(new, got, strict=True))
         return kept
 
     def __call__(self, chunks: list[str], dtype: str) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ REPEATS = 3
 #: of all rows is spread like the rest.
 SHARD_TOKENS, MOST_SHARDS = 1 << 18, 1 << 16
 #: Documents of a shard on average where whole rows are taken.
-SHARD_DOCUMENTS = 8192
+SHARD_DOCUMENTS = 1024
 #: Tokens of a block, at every size of the table.
 BLOCK_TOKENS = 1024
 #: Steps of the seeded walks through a line's blocks.

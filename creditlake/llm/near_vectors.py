@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import components_of, materialize
+from .common import components_of, materialize, small_batches
 
 COSINE = 0.95
 #: Tables, polytopes to a table's key, and probes: the key itself and the keys with the likeliest single changes. Of pairs
@@ -209,13 +209,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     different lengths never link. Repeated ids are rows of their own class; rows without id have no component and aren't
     kept. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
+    small_batches(vectors.sparkSession)
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     good = usable(F.col("vector"))
     classes = materialize(
         v.where(good & F.col("id").isNotNull()).groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "vector"), "vector-classes"
     )
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     sizes = classes.mapInArrow(_entry_keys, "key long, dim int").groupBy("key", "dim").count()
     big = materialize(sizes.where(F.col("count") > PART_ROWS).select("key", "dim", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts")), "vector-buckets")
     if big.count() <= BROADCAST_KEYS:

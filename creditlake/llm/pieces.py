@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import BLOCK_BYTES, Known, spread
+from .common import small_batches
 
 #: The white-space marker that stands for a blank inside pieces.
 MARK = "▁"
@@ -249,6 +250,7 @@ def _cut(text: str) -> list[str]:
 
 def shared_model(df: DataFrame, path: str):
     """The model, read and built once on the driver and broadcast: as large as its vocabulary."""
+    small_batches(df.sparkSession)
     return df.sparkSession.sparkContext.broadcast(Unigram.from_model(path))
 
 
