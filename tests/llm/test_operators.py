@@ -144,7 +144,7 @@ def test_classifiers_and_licenses(spark, docs):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows_as_duckdb(spark, name, sf):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/{sf}/{t}.parquet'")
     df = QUERIES[name](spark, f"/root/testdata/{sf}")
     want = con.execute(ORACLE_SQL[name])
