@@ -15,8 +15,9 @@ OFFSET = 600 - FACTOR * log(50)
 
 def fit(rows: DataFrame, woe_columns: list[str], target: str = "defaut") -> tuple[list[float], float]:
     """(coefficients, intercept) of the L2-penalised fit with penalty 1/n, columns as they are."""
-    x = VectorAssembler(inputCols=woe_columns, outputCol="x").transform(rows.select(*woe_columns, F.col(target).cast("double").alias("y")))
+    x = VectorAssembler(inputCols=woe_columns, outputCol="x").transform(rows.select(*woe_columns, F.col(target).cast("double").alias("y"))).select("x", "y").persist()
     m = LogisticRegression(featuresCol="x", labelCol="y", regParam=1 / max(1, x.count()), elasticNetParam=0.0, standardization=False, tol=1e-10).fit(x)
+    x.unpersist()
     return [float(c) for c in m.coefficients], float(m.intercept)
 
 

@@ -6,20 +6,37 @@ Each lender (l) sends a file for each month (m). Codes, severities and class nam
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from . import scoring
 from .dialect import Spark
 
-# Month ends, classes of arrears, severities of the rule codes (3 rejects, 2 and 1 are reserves).
+# Month ends of the projection, classes of arrears, the lenders' register in its order (code, type, quality).
 MONTH_ENDS = ["2000-08-31", "2000-09-30", "2000-10-31", "2000-11-30", "2000-12-31", "2001-01-31", "2001-02-28", "2001-03-31", "2001-04-30", "2001-05-31", "2001-06-30", "2001-07-31"]
 CLASSES = ["sain", "sensible", "douteux", "contentieux"]
-SEVERITY = {"E000": 3, "E001": 3, "E002": 3, "E003": 3, "E004": 3, "E005": 2, "E006": 2, "E007": 3, "E008": 3, "E009": 3, "E010": 2, "E011": 2, "E012": 2, "E013": 3, "E014": 1, "E015": 2}
-ENTITY = {"E000": "fichier", "E001": "emprunteur", "E002": "contrat,emprunteur", "E003": "contrat", "E004": "contrat", "E005": "contrat", "E006": "contrat", "E007": "contrat", "E008": "contrat", "E009": "contrat", "E010": "emprunteur", "E011": "emprunteur", "E012": "contrat", "E013": "entete", "E014": "emprunteur", "E015": "emprunteur"}
-LEVELS = {3: "BLOQUANT", 2: "MAJEUR", 1: "MINEUR"}
-PROFILES = ["bon", "moyen", "mauvais"]
-SURNAMES = ["Adamou", "Béchir", "Cissé", "Diallo", "Émile", "Fofana", "Garba", "Hamani", "Idrissa", "Kané", "Laouali", "Moussa"]
-FIRST_NAMES = ["Aïcha", "Boubacar", "Céline", "Daouda", "Fatima", "Hélène", "Ibrahim"]
+LENDERS = [
+    ("BQ000001", "banque", "excellent"),
+    ("BQ000002", "banque", "excellent"),
+    ("EF000001", "etablissement_financier", "excellent"),
+    ("BQ000003", "banque", "moyen"),
+    ("BQ000004", "banque", "moyen"),
+    ("BQ000005", "banque", "moyen"),
+    ("EF000002", "etablissement_financier", "moyen"),
+    ("EF000003", "etablissement_financier", "moyen"),
+    ("SF000001", "sfd", "moyen"),
+    ("BQ000006", "banque", "defaillant"),
+    ("EF000004", "etablissement_financier", "defaillant"),
+    ("SF000002", "sfd", "defaillant"),
+]
+PROFILES = ["excellent", "moyen", "defaillant"]
+CREDIT_TYPES = ["court_terme", "moyen_terme", "long_terme", "decouvert", "credit_bail", "engagement_signature"]
+PERIODS = ["mensuelle", "trimestrielle", "semestrielle", "annuelle", "in_fine"]
+SECURITIES = ["hypotheque", "nantissement", "caution", "gage", "aucune"]
+# Names of the projection are made of these: two parts for a surname, some with particles or sounds that normal forms change.
+HEADS = ["Ada", "Béchi", "Cissé", "Dial", "Émi", "Fofa", "Gar", "Hama", "Idri", "Kané", "Lao", "Mou", "Philip", "De Sou", "Ben Sa", "El Ha", "Phara", "Quen", "Binti O", "Soule"]
+TAILS = ["mou", "r", "kko", "lo", "le", "na", "ba", "ni", "ssa", "ra", "uali", "ssa", "pe", "za", "lah", "dji", "y", "tin", "mar", "ye", "tou", "bé", "ga"]
+FIRST_NAMES = ["Aïcha", "Boubacar", "Céline", "Daouda", "Fatima", "Hélène", "Ibrahim", "Jacques", "Philomène", "Raphaël", "Zeïnabou"]
 
 
 def _pick(index: str, values: list[str]) -> str:
@@ -30,84 +47,54 @@ def _money(c: str, d: Spark) -> str:
     return f"concat(cast({d.idiv(c, 100)} AS varchar(30)), '.', lpad(cast({c} % 100 AS varchar(30)), 2, '0'))"
 
 
-def _class_of(days: str) -> str:
-    """Grid of arrears; a negative count is 'sensible' like up to 30 days."""
-    return f"(CASE WHEN {days} = 0 THEN 'sain' WHEN {days} <= 30 THEN 'sensible' WHEN {days} <= 90 THEN 'douteux' ELSE 'contentieux' END)"
-
-
 def _with(d: Spark) -> dict[str, str]:
     """Named steps, in order; a plan takes those up to what it needs and unused ones are pruned."""
     months = ", ".join(f"({k}, DATE '{x}')" for k, x in enumerate(MONTH_ENDS))
+    lenders = ", ".join(f"({k}, '{c}', '{t}', '{q}')" for k, (c, t, q) in enumerate(LENDERS))
     jr = "(CASE WHEN k % 5 = 0 AND m >= k % 12 THEN least(365, 25 * (m - k % 12 + 1)) ELSE 0 END)"
     cl = f"(CASE WHEN {jr} = 0 THEN 0 WHEN {jr} <= 30 THEN 1 WHEN {jr} <= 90 THEN 2 ELSE 3 END)"
-    severity = "(CASE code " + " ".join(f"WHEN '{c}' THEN {s}" for c, s in SEVERITY.items()) + " END)"
-    grant, due, amount, left = d.date("date_octroi"), d.date("date_echeance"), d.number("montant_octroye"), d.number("encours")
-    checks = {
-        "E002": (f"(date_octroi <> '' AND {grant} IS NULL) OR (date_echeance <> '' AND {due} IS NULL)", f"CASE WHEN date_octroi <> '' AND {grant} IS NULL THEN 'date_octroi' ELSE 'date_echeance' END"),
-        "E003": (f"(montant_octroye <> '' AND {amount} IS NULL) OR (encours <> '' AND {left} IS NULL)", f"CASE WHEN montant_octroye <> '' AND {amount} IS NULL THEN 'montant_octroye' ELSE 'encours' END"),
-        "E004": (f"{left} < 0", "'encours'"),
-        "E005": (f"{left} > {amount}", "'encours'"),
-        "E006": ("devise <> 'XOF'", "'devise'"),
-        "E007": (f"{due} < {grant}", "'date_echeance'"),
-        "E008": ("NOT known", "'id_emprunteur_source'"),
-        "E009": ("nth > 1", "'id_contrat_source'"),
-        "E012": (f"classification <> {_class_of('jours_retard')}", "'classification'"),
-    }
-    one_pass = d.findings("checked", "l, m, pos, id_contrat AS ident", checks)
     born = "(CASE WHEN v = 4 THEN " + d.plus("birth0", 1) + " ELSE birth0 END)"
-    b_checks = {
-        "E001": ("(kind = 'PP' AND trim(nom) = '') OR (kind <> 'PP' AND trim(raison) = '')", "CASE WHEN kind = 'PP' THEN 'nom' ELSE 'raison_sociale' END"),
-        "E002": (f"naissance <> '' AND {d.date('naissance')} IS NULL", "'date_naissance'"),
-        "E010": (f"piece <> '' AND NOT {d.matches('piece', '[A-Z]{2}-[A-Z]+-[0-9]{8}')}", "'numero_piece'"),
-        "E011": (f"{d.days(d.date('naissance'), 'ref')} / 365.25 < 18 OR {d.days(d.date('naissance'), 'ref')} / 365.25 > 100", "'date_naissance'"),
-        "E014": (f"phone <> '' AND NOT {d.matches('phone', '[+][0-9]{3}[0-9]{8}')}", "'telephone'"),
-        "E015": ("kind = 'PM' AND trim(nif) = ''", "'nif'"),
-    }
-    b_pass = d.findings("raw_borrower", "l, ident", b_checks)
-    first_word = "split_part(nom_complet, ' ', 1)"
-    no_vowels = d.replace_all(f"replace(replace(replace(substr({first_word}, 2), 'PH', 'F'), 'Q', 'K'), 'C', 'K')", "[AEIOUY]", "")
-    head = f"replace(replace(substr({first_word}, 1, 1), 'Q', 'K'), 'C', 'K')"
-    squeezed = no_vowels
-    for letter in "BCDFGHJKLMNPQRSTVWXZ":
-        squeezed = d.replace_all(squeezed, f"{letter}+", letter)
     return {
         "months": f"SELECT * FROM (VALUES {months}) AS t(m, arrete)",
-        "grants": f"SELECT o_orderkey AS k, o_custkey AS b, cast(o_orderkey % 12 AS int) AS l, cast(o_orderdate AS date) AS octroi, cast(round(o_totalprice * 100) AS bigint) AS cents, 30 * (o_orderkey % 60 + 1) AS days FROM orders",
+        "lenders": f"SELECT * FROM (VALUES {lenders}) AS t(l, code_declarant, type_etablissement, qualite)",
+        "grants": f"SELECT o_orderkey AS k, o_custkey AS b, cast(o_orderkey % 12 AS int) AS l, cast(o_orderdate AS date) AS octroi, cast(round(o_totalprice * 100) AS bigint) AS cents, 30 * (o_orderkey % 60 + 1) AS days, CASE WHEN o_orderkey % 5 < 3 THEN {d.idiv('cast(round(o_totalprice * 100) AS bigint) * (o_orderkey % 4 + 1)', 4)} ELSE 0 END AS garantie_c FROM orders",
         "snap": f"SELECT g.*, m, arrete, {d.plus('octroi', 'days')} AS echeance, {d.idiv('cents * (days - ' + d.days('octroi', 'arrete') + ')', 'days')} AS encours_c, {jr} AS jr, {cl} AS cl, (k * 31 + m * 17) % 40 AS dirt FROM grants g CROSS JOIN months WHERE octroi <= arrete AND arrete <= {d.plus('octroi', 'days')}",
-        "placed": "SELECT *, row_number() OVER (PARTITION BY l, m ORDER BY k) AS pos FROM snap",
-        "twin": "SELECT *, CASE WHEN pos = 2 AND (l * 7 + m) % 5 = 0 THEN lag(k) OVER (PARTITION BY l, m ORDER BY k) ELSE k END AS shown FROM placed",
-        "raw": f"""SELECT l, m, arrete, k, pos, concat('CNT', cast(shown AS varchar(30))) AS id_contrat,
-            CASE WHEN dirt = 6 THEN 'EMP999999' ELSE concat('EMP', cast(b AS varchar(30))) END AS id_emprunteur,
-            CASE WHEN dirt = 0 THEN '31/02/2024' ELSE {d.iso('octroi')} END AS date_octroi,
+        # What lenders declare: every field is text, errors included. A file is a lender's month; pos is the contract's own number.
+        "raw_contract": f"""SELECT l, m, k AS pos, concat('CNT', cast(CASE WHEN (k * 7 + m) % 97 = 0 THEN k - 12 ELSE k END AS varchar(30))) AS id_contrat_source,
+            concat('EMP', cast(CASE WHEN dirt = 6 THEN b + 1 ELSE b END AS varchar(30))) AS id_emprunteur_source,
+            CASE WHEN dirt = 8 AND k % 7 = 3 THEN 'prive' ELSE {_pick('(k % 6)', CREDIT_TYPES)} END AS type_credit,
+            CASE WHEN dirt = 0 THEN '31/02/2024' WHEN dirt = 12 THEN replace({d.iso('octroi')}, '-', '') ELSE {d.iso('octroi')} END AS date_octroi,
             CASE WHEN dirt = 5 THEN {d.iso(d.plus('octroi', -30))} ELSE {d.iso('echeance')} END AS date_echeance,
-            CASE WHEN dirt = 1 THEN 'N/A' ELSE {_money('cents', d)} END AS montant_octroye,
-            CASE WHEN dirt = 2 THEN concat('-', {_money('(encours_c + 100000)', d)}) WHEN dirt = 3 THEN {_money('(' + d.idiv('cents * 3', 2) + ')', d)} ELSE {_money('encours_c', d)} END AS encours,
-            CASE WHEN dirt = 4 THEN 'EUR' ELSE 'XOF' END AS devise, jr AS jours_retard,
-            {_pick('(CASE WHEN dirt = 7 THEN (cl + 1) % 4 ELSE cl END)', CLASSES)} AS classification FROM twin""",
-        "checked": "SELECT *, row_number() OVER (PARTITION BY l, m, id_contrat ORDER BY pos) AS nth, id_emprunteur <> 'EMP999999' AS known FROM raw",
-        "headers": "SELECT l, m, (l * 5 + m * 3) % 29 = 0 AS unknown, count(*) AS contrats FROM raw GROUP BY l, m",
-        "findings": f"SELECT *, {severity} AS sev FROM ({one_pass}) f",
-        "worst": "SELECT l, m, ident, max(sev) AS sev FROM findings GROUP BY l, m, ident",
-        "decided": "SELECT r.l, r.m, r.pos, r.id_contrat, CASE WHEN h.unknown OR w.sev = 3 THEN 'REJETE' WHEN w.sev IS NOT NULL THEN 'ACCEPTE_AVEC_RESERVE' ELSE 'ACCEPTE' END AS decision FROM raw r JOIN headers h ON r.l = h.l AND r.m = h.m LEFT JOIN worst w ON r.l = w.l AND r.m = w.m AND r.id_contrat = w.ident",
-        "pairs_lb": f"SELECT DISTINCT l, b, cast((b * 7 + l) % 5 AS int) AS v, {d.plus(chr(68) + 'ATE ' + chr(39) + '1950-01-01' + chr(39), '(b * 7919) % 18000')} AS birth0, {_pick('(b % 12)', SURNAMES)} AS sn, {_pick('(b % 7)', FIRST_NAMES)} AS fn FROM grants",
-        "borrower": f"""SELECT l, b, concat('L', lpad(cast(l AS varchar(30)), 2, '0'), ':EMP', cast(b AS varchar(30))) AS cle,
-            CASE v WHEN 1 THEN upper(sn) WHEN 2 THEN fn ELSE sn END AS nom,
-            CASE v WHEN 2 THEN sn WHEN 3 THEN concat(substr(fn, 1, 1), '.') ELSE fn END AS prenom,
-            {d.iso(born)} AS naissance, CASE WHEN b % 11 = 0 THEN '' ELSE concat('NE-CNI-', lpad(cast(b AS varchar(30)), 8, '0')) END AS piece FROM pairs_lb""",
-        "raw_borrower": f"""SELECT l, cle AS ident, DATE '2001-07-31' AS ref, CASE WHEN b % 5 = 4 THEN 'PM' ELSE 'PP' END AS kind,
-            CASE WHEN (b * 13 + l) % 23 = 0 THEN ' ' ELSE nom END AS nom, CASE WHEN (b * 13 + l) % 23 = 0 THEN '' ELSE concat('Ste ', nom) END AS raison,
-            CASE WHEN (b * 13 + l) % 23 = 1 THEN '1990-02-30' WHEN (b * 13 + l) % 23 = 2 THEN '1999-05-17' ELSE naissance END AS naissance,
-            CASE WHEN (b * 13 + l) % 23 = 3 THEN concat('x', piece) ELSE piece END AS piece,
-            CASE WHEN (b * 13 + l) % 23 = 4 THEN '0612345678' ELSE concat('+227', lpad(cast(b AS varchar(30)), 8, '9')) END AS phone,
-            CASE WHEN b % 17 = 0 THEN '' ELSE concat('NIF', cast(b AS varchar(30))) END AS nif FROM borrower""",
-        "borrower_findings": f"SELECT *, {severity} AS sev FROM ({b_pass}) f",
-        "normal": f"SELECT cle, l, b, naissance, piece, upper({d.replace_all('piece', '[ -]', '')}) AS ident, trim({d.replace_all(d.replace_all('concat(' + d.plain('nom') + ', chr(32), ' + d.plain('prenom') + ')', '[^A-Z0-9 ]', ' '), ' +', ' ')}) AS nom_complet FROM borrower",
-        "keyed": f"SELECT *, {first_word} AS mot, concat({head}, {squeezed}) AS phon FROM normal",
-        "block_keys": "SELECT cle, concat('PIECE:', ident) AS bk FROM keyed WHERE ident <> '' UNION SELECT cle, concat('NAISS:', naissance, ':', substr(mot, 1, 1)) FROM keyed WHERE mot <> '' AND naissance <> '' UNION SELECT cle, concat('PHON:', phon, ':', substr(naissance, 1, 4)) FROM keyed WHERE mot <> '' AND naissance <> ''",
-        "cand": "SELECT DISTINCT x.cle AS a, y.cle AS z FROM block_keys x JOIN block_keys y ON x.bk = y.bk AND x.cle < y.cle",
+            CASE WHEN dirt = 1 THEN 'N/A' WHEN dirt = 10 THEN concat(' ', cast({d.idiv('cents', 100)} AS varchar(30)), 'e0 ') ELSE {_money('cents', d)} END AS montant_octroye,
+            CASE WHEN dirt = 4 THEN 'EUR' ELSE 'XOF' END AS devise, concat(cast(5 + k % 10 AS varchar(30)), '.5') AS taux_interet,
+            {_pick('(k % 5)', PERIODS)} AS periodicite, {_pick('(k % 5)', SECURITIES)} AS type_garantie, {_money('garantie_c', d)} AS montant_garantie, {d.iso('arrete')} AS date_arrete,
+            CASE WHEN dirt = 2 THEN concat('-', {_money('(encours_c + 100000)', d)}) WHEN dirt = 3 THEN {_money('(' + d.idiv('cents * 3', 2) + ')', d)} WHEN dirt = 11 THEN '.5' ELSE {_money('encours_c', d)} END AS encours,
+            {_money('(CASE WHEN jr > 0 THEN ' + d.idiv('encours_c * jr', 365) + ' ELSE 0 END)', d)} AS montant_impaye,
+            CASE WHEN dirt = 13 THEN 'x' ELSE cast(jr AS varchar(30)) END AS jours_retard, {_pick('(CASE WHEN dirt = 7 THEN (cl + 1) % 4 ELSE cl END)', CLASSES)} AS classification FROM snap""",
+        "raw_header": f"SELECT l, m, x.code_declarant AS declarant, (l * 7 + m * 5) % 71 = 0 AS malformed, CASE WHEN (l * 5 + m * 3) % 29 = 0 THEN 'ZZ999999' ELSE x.code_declarant END AS code_declarant, {d.iso('arrete')} AS date_arrete, CASE WHEN (l + m * 4) % 37 = 5 THEN 'many' ELSE '0' END AS nombre_enregistrements, '2001-08-01T00:00:00' AS horodatage FROM lenders x CROSS JOIN months",
+        "pairs_lb": f"SELECT DISTINCT l, b, cast((b * 7 + l) % 5 AS int) AS v, {d.plus(chr(68) + 'ATE ' + chr(39) + '1950-01-01' + chr(39), '(b * 7919) % 18000')} AS birth0, concat({_pick('((b * 31) % 20)', HEADS)}, {_pick('((b * 17) % 23)', TAILS)}) AS sn, {_pick('(b % 11)', FIRST_NAMES)} AS fn FROM grants",
+        "borrower": f"""SELECT l, b, concat(x.code_declarant, ':EMP', cast(b AS varchar(30))) AS cle, CASE WHEN b % 5 = 4 THEN 'PM' ELSE 'PP' END AS type_personne,
+            CASE WHEN b % 5 = 4 THEN '' WHEN v = 1 THEN upper(sn) WHEN v = 2 THEN fn ELSE sn END AS nom,
+            CASE WHEN b % 5 = 4 THEN '' WHEN v = 2 THEN sn WHEN v = 3 THEN concat(substr(fn, 1, 1), '.') ELSE fn END AS prenom,
+            CASE WHEN b % 5 <> 4 THEN '' WHEN v = 1 THEN concat('STE ', upper(sn), ' & Fils') ELSE concat('Sté ', sn, ' et Fils') END AS raison_sociale,
+            CASE WHEN b % 5 = 4 THEN '' ELSE {d.iso(born)} END AS date_naissance, CASE WHEN b % 5 = 4 OR b % 11 = 0 THEN '' ELSE concat('NE-CNI-', lpad(cast(b AS varchar(30)), 8, '0')) END AS numero_piece,
+            CASE WHEN b % 5 <> 4 OR b % 17 = 0 THEN '' WHEN v = 3 THEN concat('nif ', cast(b AS varchar(30))) ELSE concat('NIF-', cast(b AS varchar(30))) END AS nif, b % 4 AS town
+            FROM pairs_lb p JOIN lenders x USING (l)""",
+        "raw_borrower": f"""SELECT f.l, f.m, f.b AS pos, concat('EMP', cast(f.b AS varchar(30))) AS id_emprunteur_source, type_personne,
+            CASE WHEN t = 0 THEN ' ' ELSE nom END AS nom, prenom, CASE WHEN t = 0 THEN '' ELSE raison_sociale END AS raison_sociale,
+            CASE WHEN t = 1 THEN '1990-02-30' WHEN t = 2 THEN '1999-05-17' ELSE date_naissance END AS date_naissance, CASE WHEN type_personne = 'PP' THEN 'M' ELSE '' END AS sexe, CASE WHEN type_personne = 'PP' THEN 'CNI' ELSE '' END AS type_piece,
+            CASE WHEN t = 3 THEN concat('x', numero_piece) ELSE numero_piece END AS numero_piece, nif,
+            CASE WHEN t = 4 THEN '0612345678' ELSE concat('+227', lpad(cast(f.b AS varchar(30)), 8, '9')) END AS telephone,
+            {_pick('town', ['Niamey', 'Zinder', 'Maradi', 'Agadez'])} AS ville, 'NE' AS pays
+            FROM (SELECT DISTINCT l, m, b, (b * 13 + l * 5 + m) % 113 AS t FROM snap) f JOIN borrower o ON f.l = o.l AND f.b = o.b""",
+        "truth": f"""SELECT l, 'contrat' AS entite, id_contrat_source AS ident, 'id_contrat_source' AS champ, 'E009' AS code FROM raw_contract WHERE id_contrat_source <> concat('CNT', cast(pos AS varchar(30)))
+            UNION SELECT l, 'contrat', id_contrat_source, champ, code FROM (SELECT l, id_contrat_source, (pos * 31 + m * 17) % 40 AS dirt FROM raw_contract) r JOIN (VALUES (0, 'date_octroi', 'E002'), (1, 'montant_octroye', 'E003'), (2, 'encours', 'E004'), (3, 'encours', 'E005'), (4, 'devise', 'E006'), (5, 'date_echeance', 'E007'), (6, 'id_emprunteur_source', 'E008'), (7, 'classification', 'E012')) AS i(d, champ, code) ON r.dirt = i.d
+            UNION SELECT l, 'entete', declarant, 'code_declarant', 'E013' FROM raw_header WHERE (l * 5 + m * 3) % 29 = 0
+            UNION SELECT l, 'emprunteur', id_emprunteur_source, CASE WHEN t > 0 THEN champ WHEN type_personne = 'PP' THEN 'nom' ELSE 'raison_sociale' END, code FROM (SELECT l, id_emprunteur_source, type_personne, (pos * 13 + l * 5 + m) % 113 AS t FROM raw_borrower) r JOIN (VALUES (0, 'nom', 'E001'), (1, 'date_naissance', 'E002'), (2, 'date_naissance', 'E011'), (3, 'numero_piece', 'E010'), (4, 'telephone', 'E014')) AS i(d, champ, code) ON r.t = i.d
+            UNION SELECT l, 'emprunteur', id_emprunteur_source, 'nif', 'E015' FROM raw_borrower WHERE type_personne = 'PM' AND nif = ''""",
         "obs": "SELECT s.b, l, k, m, arrete, octroi, cents, encours_c, jr, cl FROM snap s WHERE m <= 5",
         "latest": "SELECT b, max(m) AS last_m FROM obs GROUP BY b",
-        "features": f"""SELECT o.b, sum(CASE WHEN o.m = x.last_m THEN encours_c ELSE 0 END) AS encours_total, count(DISTINCT l) AS nb_declarants, count(DISTINCT k) AS nb_contrats, count(DISTINCT k % 5) AS nb_types, max(jr) AS max_retard,
+        "features": f"""SELECT o.b, sum(CASE WHEN o.m = x.last_m THEN encours_c ELSE 0 END) AS encours_total, count(DISTINCT l) AS nb_declarants, count(DISTINCT k) AS nb_contrats, count(DISTINCT k % 6) AS nb_types, max(jr) AS max_retard,
             sum(CASE WHEN cl >= 2 THEN 1 ELSE 0 END) AS nb_douteux, max({d.days('octroi', "DATE '2001-01-31'")}) AS anciennete FROM obs o JOIN latest x ON o.b = x.b GROUP BY o.b""",
         "target": "SELECT f.*, CASE WHEN t.worst > 90 THEN 1 ELSE 0 END AS defaut FROM features f LEFT JOIN (SELECT b, max(jr) AS worst FROM snap WHERE m >= 6 GROUP BY b) t ON f.b = t.b",
         "edges": f"SELECT {', '.join(d.quantile('cast(encours_total AS double)', q) + f' AS q{k}' for k, q in enumerate((0.2, 0.4, 0.6, 0.8)))} FROM features",
@@ -115,7 +102,6 @@ def _with(d: Spark) -> dict[str, str]:
         "bin_counts": "SELECT bin, greatest(cast(sum(1 - defaut) AS double), cast(0.5 AS double)) AS good, greatest(cast(sum(defaut) AS double), cast(0.5 AS double)) AS bad, count(*) AS n FROM binned GROUP BY bin",
         "bin_totals": "SELECT greatest(cast(sum(1 - defaut) AS double), cast(1 AS double)) AS goods, greatest(cast(sum(defaut) AS double), cast(1 AS double)) AS bads FROM binned",
         "woe": "SELECT bin, n, ln((good / goods) / (bad / bads)) AS woe, (good / goods - bad / bads) * ln((good / goods) / (bad / bads)) AS iv FROM bin_counts CROSS JOIN bin_totals",
-        "scored": "SELECT b, defaut, least(850, greatest(300, 600 + 2 * least(anciennete / 30, 20) - max_retard / 5 - 3 * nb_douteux)) AS score FROM (SELECT b, defaut, cast(anciennete AS double) AS anciennete, cast(max_retard AS double) AS max_retard, nb_douteux FROM target) x",
         "bounds": f"SELECT {', '.join(d.quantile('score', q) + f' AS c{k}' for k, q in enumerate((0.8, 0.6, 0.4, 0.2)))}, min(score) AS lo, max(score) AS hi FROM scored",
         "by_score": "SELECT score, sum(defaut) AS bad, sum(1 - defaut) AS good FROM scored GROUP BY score",
         "roc": "SELECT score, cast(sum(bad) OVER (ORDER BY score) AS double) / sum(bad) OVER () AS tpr, cast(sum(good) OVER (ORDER BY score) AS double) / sum(good) OVER () AS fpr, cast(bad AS double) / sum(bad) OVER () AS dt, cast(good AS double) / sum(good) OVER () AS df FROM by_score",
@@ -123,83 +109,60 @@ def _with(d: Spark) -> dict[str, str]:
 
 
 def _plans(d: Spark) -> dict[str, str]:
-    levels = ", ".join(f"({s}, '{n}')" for s, n in LEVELS.items())
-    every = "SELECT l, m, code, sev FROM findings UNION ALL SELECT l, m, 'E013', 3 FROM headers WHERE unknown"
-    score_match = d.lcs_similarity("x.tri", "y.tri")
-    catalogue = ", ".join(f"('{c}', '{ENTITY[c]}', '{LEVELS[s]}')" for c, s in SEVERITY.items() if c != "E000")
-    fields = {"id_emprunteur": "id_emprunteur", "date_octroi": "date_octroi", "montant_octroye": "montant_octroye", "encours": "encours", "classification": "classification"}
     spent = "CASE WHEN k % 5 = 0 AND m >= k % 12 THEN 25 ELSE 0 END"
     return {
-        "v_rules_contract": "SELECT l, m, pos, ident, code, champ, sev FROM findings WHERE code NOT IN ('E008', 'E009')",
-        "v_rules_borrower": "SELECT l, ident, code, champ, sev FROM borrower_findings",
-        "v_orphan_borrower": "SELECT l, m, ident, pos FROM findings WHERE code = 'E008'",
-        "v_duplicate_contract": "SELECT l, m, ident, pos FROM findings WHERE code = 'E009'",
-        "v_unknown_lender": "SELECT l, m, contrats FROM headers WHERE unknown",
-        "v_decision": "SELECT l, m, pos, id_contrat, decision FROM decided",
-        "v_file_report": "SELECT l, m, count(*) AS contrats, sum(CASE WHEN decision = 'ACCEPTE' THEN 1 ELSE 0 END) AS acceptes, sum(CASE WHEN decision = 'ACCEPTE_AVEC_RESERVE' THEN 1 ELSE 0 END) AS reserves, sum(CASE WHEN decision = 'REJETE' THEN 1 ELSE 0 END) AS rejetes, round(cast(sum(CASE WHEN decision <> 'REJETE' THEN 1 ELSE 0 END) AS double) / count(*), 6) AS taux FROM decided GROUP BY l, m",
-        "v_lender_decisions": "SELECT l, decision, count(*) AS n FROM decided GROUP BY l, decision",
         "v_natural_maturity_before_grant": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE cast(l_shipdate AS date) < cast(o_orderdate AS date) GROUP BY l_orderkey, l_linenumber",
         "v_natural_amount_excess": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_extendedprice > o_totalprice GROUP BY l_orderkey, l_linenumber",
         "v_natural_duplicate_key": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
-        "v_detection_recall": "SELECT t.code, count(*) AS injected, count(f.code) AS found FROM (SELECT DISTINCT l, concat('CNT', cast(shown AS varchar(30))) AS ident, concat('E00', cast(CASE dirt WHEN 7 THEN 12 ELSE dirt + 2 END AS varchar(30))) AS code FROM twin WHERE dirt < 7) t LEFT JOIN (SELECT DISTINCT l, ident, code FROM findings) f ON t.l = f.l AND t.ident = f.ident AND t.code = f.code GROUP BY t.code",
-        "q_catalogue": f"SELECT code, entites, severite FROM (VALUES {catalogue}) AS t(code, entites, severite)",
-        "q_lender_ranking": "SELECT l, count(*) AS contrats, round(cast(sum(CASE WHEN decision = 'REJETE' THEN 1 ELSE 0 END) AS double) / count(*), 6) AS taux_rejet, round(cast(sum(CASE WHEN decision = 'ACCEPTE_AVEC_RESERVE' THEN 1 ELSE 0 END) AS double) / count(*), 6) AS taux_reserve FROM decided GROUP BY l ORDER BY taux_rejet DESC, l",
-        "q_top_errors": f"SELECT code, count(*) AS n FROM ({every}) e GROUP BY code ORDER BY n DESC, code LIMIT 10",
-        "q_severity_split": f"SELECT severite, coalesce(n, 0) AS n, round(cast(coalesce(n, 0) AS double) / sum(coalesce(n, 0)) OVER (), 6) AS part FROM (VALUES {levels}) AS t(sev, severite) LEFT JOIN (SELECT sev, count(*) AS n FROM ({every}) e GROUP BY sev) c ON t.sev = c.sev",
-        "q_monthly_grid": f"SELECT p.profil, g.m, coalesce(round(cast(c.rejets AS double) / c.n, 6), 0) AS taux FROM (VALUES (0, '{PROFILES[0]}'), (1, '{PROFILES[1]}'), (2, '{PROFILES[2]}')) AS p(i, profil) CROSS JOIN months g LEFT JOIN (SELECT l % 3 AS i, m, count(*) AS n, sum(CASE WHEN decision = 'REJETE' THEN 1 ELSE 0 END) AS rejets FROM decided GROUP BY l % 3, m) c ON c.i = p.i AND c.m = g.m",
-        "q_completeness": " UNION ALL ".join(f"SELECT '{n}' AS champ, count(*) AS total, sum(CASE WHEN {c} = '' THEN 1 ELSE 0 END) AS manquants FROM raw" for n, c in fields.items()) + " UNION ALL " + " UNION ALL ".join(f"SELECT '{c}', count(*), sum(CASE WHEN trim({c}) = '' THEN 1 ELSE 0 END) FROM raw_borrower" for c in ("nom", "piece", "nif")),
-        "q_global_totals": "SELECT count(*) AS contrats, sum(CASE WHEN decision = 'ACCEPTE' THEN 1 ELSE 0 END) AS acceptes, sum(CASE WHEN decision = 'ACCEPTE_AVEC_RESERVE' THEN 1 ELSE 0 END) AS reserves, sum(CASE WHEN decision = 'REJETE' THEN 1 ELSE 0 END) AS rejetes, min(m) AS debut, max(m) AS fin FROM decided",
-        "i_normalise": "SELECT cle, nom_complet, ident FROM normal",
-        "i_phonetic": "SELECT cle, mot, phon FROM keyed",
-        "i_block_keys": "SELECT cle, bk FROM block_keys",
-        "i_pairs": "SELECT a, z FROM cand",
-        "i_match": f"""SELECT a, z, CASE WHEN same_id THEN 'certaine' WHEN score >= 88 AND same_birth THEN 'probable' WHEN score >= 75 AND score < 88 THEN 'a_revoir' ELSE 'aucune' END AS decision FROM (
-            SELECT a, z, x.ident <> '' AND x.ident = y.ident AS same_id, x.naissance <> '' AND x.naissance = y.naissance AS same_birth, CASE WHEN x.ident <> '' AND x.ident = y.ident THEN 100D ELSE {score_match} END AS score FROM cand JOIN tri x ON x.cle = a JOIN tri y ON y.cle = z) s""",
         "s_features": "SELECT b, encours_total, nb_declarants, nb_contrats, nb_types, max_retard, nb_douteux, anciennete FROM features",
         "s_target": "SELECT b, defaut FROM target",
         "s_bin_edges": "SELECT round(q0, 3) AS q0, round(q1, 3) AS q1, round(q2, 3) AS q2, round(q3, 3) AS q3 FROM edges",
         "s_woe_iv": "SELECT bin, n, round(woe, 6) AS woe, round(iv, 6) AS iv FROM woe",
         "s_selected": "SELECT 'encours_total' AS variable, round(sum(iv), 6) AS iv, sum(iv) BETWEEN 0.02 AND 0.5 AS retenue FROM woe",
         "s_score_fixed_model": "SELECT b, round(score, 6) AS score FROM scored",
-        "s_bands": "SELECT bande, count(*) AS n, round(avg(cast(defaut AS double)), 6) AS taux, round(min(score), 6) AS score_min FROM (SELECT s.*, CASE WHEN score >= c0 THEN 'A' WHEN score >= c1 THEN 'B' WHEN score >= c2 THEN 'C' WHEN score >= c3 THEN 'D' ELSE 'E' END AS bande FROM scored s CROSS JOIN bounds) x GROUP BY bande",
-        "s_histogram": "SELECT bin, count(*) AS n FROM (SELECT CASE WHEN hi = lo THEN 0 ELSE greatest(cast(ceil((score - lo) * 24 / (hi - lo)) AS int), 1) - 1 END AS bin FROM scored CROSS JOIN bounds) x GROUP BY bin",
+        "s_bands": "SELECT t.bande, coalesce(n, 0) AS n, coalesce(taux, 0) AS taux, coalesce(score_min, 0) AS score_min FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS t(bande) LEFT JOIN (SELECT bande, count(*) AS n, round(avg(cast(defaut AS double)), 6) AS taux, round(min(score), 6) AS score_min FROM (SELECT s.*, CASE WHEN score >= c0 THEN 'A' WHEN score >= c1 THEN 'B' WHEN score >= c2 THEN 'C' WHEN score >= c3 THEN 'D' ELSE 'E' END AS bande FROM scored s CROSS JOIN bounds) x GROUP BY bande) c ON t.bande = c.bande",
+        "s_histogram": f"SELECT t.bin, coalesce(n, 0) AS n FROM (VALUES {', '.join(f'({k})' for k in range(24))}) AS t(bin) LEFT JOIN (SELECT bin, count(*) AS n FROM (SELECT CASE WHEN hi = lo THEN 0 ELSE greatest(cast(ceil((score - lo) * 24 / (hi - lo)) AS int), 1) - 1 END AS bin FROM scored CROSS JOIN bounds) x GROUP BY bin) c ON t.bin = c.bin WHERE t.bin = 0 OR (SELECT hi > lo FROM bounds)",
         "s_auc_ks": "SELECT round(sum(df * (tpr - dt / 2)), 6) AS auc, round(2 * sum(df * (tpr - dt / 2)) - 1, 6) AS gini, round(greatest(max(tpr - fpr), 0), 6) AS ks FROM roc",
         "s_roc": "SELECT round(score, 6) AS score, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM roc",
         "r_engagements": "SELECT s.b, s.k, s.l, s.m, encours_c, jr FROM snap s JOIN (SELECT b, max(m) AS last_m FROM snap GROUP BY b) x ON s.b = x.b AND s.m = x.last_m",
         "r_arrears_history": "SELECT b, m, jr FROM (SELECT b, m, max(jr) AS jr, row_number() OVER (PARTITION BY b ORDER BY m DESC) AS nth FROM snap GROUP BY b, m) x WHERE nth <= 12",
-        "l_new_rows": "SELECT id_contrat, l, min(m) AS m FROM decided d WHERE decision <> 'REJETE' AND m >= 6 AND NOT EXISTS (SELECT 1 FROM decided e WHERE e.id_contrat = d.id_contrat AND e.l = d.l AND e.m < 6 AND e.decision <> 'REJETE') GROUP BY id_contrat, l",
         "g_arrears_recurrence": f"SELECT k, m, least(365, sum({spent}) OVER (PARTITION BY k ORDER BY m)) AS jr FROM snap",
+        "i_truth_sizes": "SELECT taille, count(*) AS n FROM (SELECT b, count(*) AS taille FROM borrower GROUP BY b) x GROUP BY taille",
         "g_months": f"SELECT m, {d.iso('arrete')} AS arrete FROM months",
     }
 
 
 def statements(d: Spark) -> dict[str, str]:
     steps = _with(d) | scoring.steps(d)
-    steps["tri"] = "SELECT cle, ident, naissance, array_to_string(list_sort(string_split(nom_complet, ' ')), ' ') AS tri FROM normal" if d.name == "duckdb" else "SELECT cle, ident, naissance, array_join(array_sort(split(nom_complet, ' ')), ' ') AS tri FROM normal"
-    out = {}
-    for name, body in (_plans(d) | scoring.plans(d)).items():
-        need, todo = set(), [body]
-        while todo:
-            text = todo.pop()
-            for s in steps:
-                if s not in need and _names(s, text):
-                    need.add(s)
-                    todo.append(steps[s])
-        ctes = ", ".join(f"{s} AS ({t})" for s, t in steps.items() if s in need)
-        out[name] = f"WITH {ctes} {body}" if ctes else body
-    return out
+    return {name: closure(steps, body) for name, body in (_plans(d) | scoring.plans(d)).items()}
+
 
+def closure(steps: dict[str, str], body: str) -> str:
+    """The body behind the steps that it needs, each after those that it needs itself."""
+    done: dict[str, str] = {}
 
-def _names(step: str, text: str) -> bool:
-    import re
+    def visit(text: str) -> None:
+        for name in _named(text):
+            if name in steps and name not in done:
+                visit(steps[name])
+                done[name] = steps[name]
 
-    return re.search(rf"\b(?:FROM|JOIN)\s+{step}\b", text) is not None
+    visit(body)
+    ctes = ", ".join(f"{s} AS ({t})" for s, t in done.items())
+    return f"WITH {ctes} {body}" if ctes else body
+
+
+def declared(d: Spark, step: str) -> str:
+    """The rows of one step."""
+    return closure(_with(d), f"SELECT * FROM {step}")
+
+
+def _named(text: str) -> list[str]:
+    return re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", text)
 
 
 def runner(sql: str) -> Callable:
     """A query (spark, sf_dir) that reads the tables the statement names."""
-    import re
-
     tables = [t for t in ("orders", "lineitem") if re.search(rf"\b{t}\b", sql)]
 
     def run(spark, sf_dir):

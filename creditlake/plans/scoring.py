@@ -2,38 +2,27 @@
 
 from __future__ import annotations
 
+from math import log
+
 from .dialect import Spark
 
 #: The features of the scorecard, in their fixed order.
 FEATURES = ["encours_total", "nb_declarants", "nb_contrats", "nb_types", "max_retard", "nb_douteux", "ratio_impaye", "taux_couverture", "anciennete"]
-# Which rule code stands for a structural error of an element, by facet or enumeration and by lexical form.
-FACET = {"encours": "E004", "devise": "E006", "numero_piece": "E010", "telephone": "E014"}
-LEXICAL = {"date_naissance": "E002", "date_octroi": "E002", "date_echeance": "E002", "date_arrete": "E002", "montant_octroye": "E003", "encours": "E003", "montant_impaye": "E003", "montant_garantie": "E003", "taux_interet": "E003"}
-MESSAGES = {
-    "E002": "give a calendar date as year-month-day",
-    "E003": "give a plain decimal amount",
-    "E004": "an outstanding amount is not negative",
-    "E005": "the outstanding amount exceeds the grant",
-    "E006": "amounts are declared in XOF",
-    "E007": "maturity lies before the grant",
-    "E008": "declare the borrower in the same file",
-    "E009": "this contract stands in the file already",
-    "E012": "the class does not fit the days of arrears",
-}
-
-
-def _case(x: str, table: dict[str, str], other: str = "NULL") -> str:
-    return f"(CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {other} END)"
+# Fixed values of the points: 600 at odds of 50 to 1, 20 to double them.
+FACTOR = 20 / log(2)
+OFFSET = 600 - FACTOR * log(50)
+#: The model that the fixed-model queries score with: log odds of default from the weights of evidence.
+COEFFICIENTS = {x: -0.3 - 0.05 * k for k, x in enumerate(FEATURES)}
+INTERCEPT = -1.5
 
 
-def structural_code(message: str, element: str) -> str:
-    """SQL for the rule code of a structural error: facet table for facets and enumerations, else lexical, facet, E000."""
-    facet = f"({message} LIKE '%facet%' OR {message} LIKE '%enumeration%')"
-    f, t = _case(element, FACET), _case(element, LEXICAL)
-    return f"(CASE WHEN {facet} AND {f} IS NOT NULL THEN {f} ELSE coalesce({t}, {f}, 'E000') END)"
+def n(x: float) -> str:
+    """A double in both dialects."""
+    return f"cast({x!r} AS double)"
 
 
 def steps(d: Spark) -> dict[str, str]:
+    coefs = ", ".join(f"('{x}', {n(c)})" for x, c in COEFFICIENTS.items())
     names = ", ".join(f"('{n}')" for n in FEATURES)
     value = "(CASE v.variable " + " ".join(f"WHEN '{n}' THEN cast({n} AS double)" for n in FEATURES) + " END)"
     edges = ", ".join(f"{d.quantile('x', q)} AS q{k}" for k, q in enumerate((0.2, 0.4, 0.6, 0.8), 1))
@@ -42,9 +31,9 @@ def steps(d: Spark) -> dict[str, str]:
     above = " + ".join(f"CASE WHEN d{k} < score" + (f" AND d{k} <> d{k - 1}" if k else "") + " THEN 1 ELSE 0 END" for k in range(11))
     ratio = "(good / goods) / (bad / bads)"
     return {
-        "obs9": f"SELECT b, l, k, m, octroi, cents, encours_c, jr, cl, CASE WHEN jr > 0 THEN {d.idiv('encours_c * jr', 365)} ELSE 0 END AS impaye_c, CASE WHEN k % 5 < 3 THEN {d.idiv('cents * (k % 4 + 1)', 4)} ELSE 0 END AS garantie_c FROM snap WHERE m <= 5",
+        "obs9": f"SELECT b, l, k, m, octroi, cents, encours_c, jr, cl, CASE WHEN jr > 0 THEN {d.idiv('encours_c * jr', 365)} ELSE 0 END AS impaye_c, garantie_c FROM snap WHERE m <= 5",
         "contract9": "SELECT b, k, max(l) AS l, max(cents) AS cents, max(garantie_c) AS garantie_c, min(octroi) AS octroi, max(jr) AS jr, sum(CASE WHEN cl >= 2 THEN 1 ELSE 0 END) AS douteux FROM obs9 GROUP BY b, k",
-        "whole9": f"SELECT b, count(DISTINCT l) AS nb_declarants, count(*) AS nb_contrats, count(DISTINCT k % 5) AS nb_types, max(jr) AS max_retard, sum(douteux) AS nb_douteux, max({d.days('octroi', 'DATE ' + chr(39) + '2001-01-31' + chr(39))}) AS anciennete, CASE WHEN sum(cents) > 0 THEN least(1, cast(sum(garantie_c) AS double) / sum(cents)) ELSE 0 END AS taux_couverture FROM contract9 GROUP BY b",
+        "whole9": f"SELECT b, count(DISTINCT l) AS nb_declarants, count(*) AS nb_contrats, count(DISTINCT k % 6) AS nb_types, max(jr) AS max_retard, sum(douteux) AS nb_douteux, max({d.days('octroi', 'DATE ' + chr(39) + '2001-01-31' + chr(39))}) AS anciennete, CASE WHEN sum(cents) > 0 THEN least(1, cast(sum(garantie_c) AS double) / sum(cents)) ELSE 0 END AS taux_couverture FROM contract9 GROUP BY b",
         "month9": "SELECT b, m, sum(encours_c) AS encours_total, sum(impaye_c) AS impaye_total FROM obs9 GROUP BY b, m",
         "last9": "SELECT x.* FROM month9 x JOIN (SELECT b, max(m) AS m FROM month9 GROUP BY b) y ON x.b = y.b AND x.m = y.m",
         "features9": "SELECT w.*, z.encours_total, CASE WHEN z.encours_total > 0 THEN cast(z.impaye_total AS double) / z.encours_total ELSE 0 END AS ratio_impaye FROM whole9 w JOIN last9 z ON w.b = z.b",
@@ -57,7 +46,10 @@ def steps(d: Spark) -> dict[str, str]:
         "woe9": f"SELECT variable, bin, n, ln({ratio}) AS woe, (good / goods - bad / bads) * ln({ratio}) AS iv FROM shares9",
         "iv9": "SELECT variable, round(sum(iv), 9) AS iv FROM woe9 GROUP BY variable",
         "kept9": "SELECT variable, iv, iv BETWEEN 0.02 AND 0.5 OR (nth = 1 AND good = 0) AS retenue FROM (SELECT variable, iv, row_number() OVER (ORDER BY iv DESC, variable) AS nth, sum(CASE WHEN iv BETWEEN 0.02 AND 0.5 THEN 1 ELSE 0 END) OVER () AS good FROM iv9) x",
-        "points9": "SELECT g.b, g.variable, round((cast(0.8 AS double) * w.woe + cast(0.1 AS double)) * 20 / ln(cast(2 AS double)), 6) AS points FROM binned9 g JOIN woe9 w ON g.variable = w.variable AND g.bin = w.bin",
+        "coefs": f"SELECT * FROM (VALUES {coefs}) AS t(variable, coef)",
+        "terms9": "SELECT g.b, g.defaut, g.variable, c.coef * w.woe AS term FROM binned9 g JOIN woe9 w ON g.variable = w.variable AND g.bin = w.bin JOIN coefs c ON g.variable = c.variable",
+        "points9": f"SELECT b, variable, round(-(term + {n(INTERCEPT / len(FEATURES))}) * {n(FACTOR)}, 6) AS points FROM terms9",
+        "scored": f"SELECT b, max(defaut) AS defaut, cast(least(850, greatest(300, {d.half_even(f'{n(OFFSET)} - {n(FACTOR)} * (sum(term) + {n(INTERCEPT)})')})) AS double) AS score FROM terms9 GROUP BY b",
         "split_keys": "SELECT b, defaut, (b % 1000003) * 7919 % 1000003 AS h FROM target",
         "split_runs": f"SELECT defaut, {d.idiv('h', 1000)} AS run, count(*) AS n FROM split_keys GROUP BY defaut, {d.idiv('h', 1000)}",
         "split_before": "SELECT defaut, run, sum(n) OVER (PARTITION BY defaut ORDER BY run) - n AS before, sum(n) OVER (PARTITION BY defaut) AS total FROM split_runs",
@@ -65,13 +57,6 @@ def steps(d: Spark) -> dict[str, str]:
         "tenths": f"SELECT {tenths} FROM scored",
         "deciles": f"SELECT b, defaut, greatest({above}, 1) - 1 AS decile FROM scored CROSS JOIN tenths",
         "curve": "SELECT score, tpr, fpr, row_number() OVER (ORDER BY score) - 1 AS spot, count(*) OVER () AS n FROM roc",
-        "xsd": """SELECT l, m, pos, 1 AS ord, 'type_credit' AS element, 'enumeration: unknown credit type' AS message FROM twin WHERE dirt = 8 AND k % 7 = 3
-            UNION ALL SELECT l, m, pos, 2, 'date_octroi', 'not a valid date' FROM twin WHERE dirt = 0
-            UNION ALL SELECT l, m, pos, 3, 'montant_octroye', 'not a valid decimal' FROM twin WHERE dirt = 1
-            UNION ALL SELECT l, m, pos, 4, 'devise', 'enumeration: unknown currency' FROM twin WHERE dirt = 4
-            UNION ALL SELECT l, m, pos, 5, 'encours', 'facet minInclusive' FROM twin WHERE dirt = 2""",
-        "structural": f"SELECT l, m, pos, ord, element, {structural_code('message', 'element')} AS code FROM xsd",
-        "first_error": "SELECT l, m, code FROM (SELECT l, m, code, row_number() OVER (PARTITION BY l, m ORDER BY pos, ord) AS nth FROM structural) x WHERE nth = 1",
     }
 
 
@@ -82,21 +67,12 @@ def plans(d: Spark) -> dict[str, str]:
         "s_features_nine": "SELECT b, " + ", ".join(f"round({n}, 9) AS {n}" if n in ("ratio_impaye", "taux_couverture") else n for n in FEATURES) + ", defaut FROM target9",
         "s_edges_all": "SELECT variable, round(lo, 6) AS lo, " + ", ".join(f"round(q{k}, 6) AS q{k}" for k in range(1, 5)) + ", round(hi, 6) AS hi FROM edges9",
         "s_woe_all": "SELECT variable, bin, n, round(woe, 6) AS woe, round(iv, 6) AS iv FROM woe9",
-        "s_selection": "SELECT variable, round(iv, 6) AS iv, retenue FROM kept9",
+        "s_selection": "SELECT variable, round(iv, 6) AS iv, retenue FROM kept9 ORDER BY iv DESC, variable",
         "s_woe_lookup": "SELECT g.b, g.variable, round(w.woe, 6) AS woe FROM binned9 g JOIN woe9 w ON g.variable = w.variable AND g.bin = w.bin",
         "s_contributions": "SELECT b, variable, points FROM (SELECT b, variable, points, row_number() OVER (PARTITION BY b ORDER BY abs(points) DESC, variable) AS nth FROM points9) x WHERE nth <= 3",
         "s_split": "SELECT b, defaut, part FROM split",
-        "s_gains": "SELECT decile, count(*) AS n, sum(defaut) AS defauts, round(avg(cast(defaut AS double)), 6) AS taux FROM deciles GROUP BY decile",
+        "s_gains": "SELECT decile, count(*) AS n, sum(defaut) AS defauts, round(avg(cast(defaut AS double)), 6) AS taux FROM deciles GROUP BY decile ORDER BY decile DESC",
         "s_default_rate": "SELECT count(*) AS n, round(avg(cast(defaut AS double)), 6) AS taux FROM target",
         "s_curve_sixty": f"SELECT DISTINCT spot, round(score, 6) AS score, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM curve CROSS JOIN (VALUES {points}) AS p(i) WHERE n <= 60 OR spot = {place}",
-        "v_structural_errors": "SELECT l, m, pos, element, code FROM structural",
-        "v_structural_kept": "SELECT l, m, pos, element, code, 'fichier' AS entite, 'BLOQUANT' AS severite FROM structural WHERE code = 'E000'",
-        "v_first_error_gate": "SELECT l, m, code, code = 'E000' AS rejete FROM first_error",
-        "v_header_veto": "SELECT r.l, r.m, count(*) AS rejetes FROM decided r JOIN headers h ON r.l = h.l AND r.m = h.m WHERE h.unknown AND r.decision = 'REJETE' GROUP BY r.l, r.m",
-        "q_rejections": f"SELECT l, m, ident AS ligne, code, champ, CASE sev WHEN 3 THEN 'BLOQUANT' WHEN 2 THEN 'MAJEUR' ELSE 'MINEUR' END AS severite, {_case('code', MESSAGES)} AS message FROM findings",
-        "q_file_top_codes": "SELECT l, m, code, n FROM (SELECT l, m, code, n, row_number() OVER (PARTITION BY l, m ORDER BY n DESC, code) AS nth FROM (SELECT l, m, code, count(*) AS n FROM findings GROUP BY l, m, code) c) x WHERE nth <= 5",
-        "q_months_seen": "SELECT m, count(*) AS fichiers, sum(contrats) AS contrats FROM headers GROUP BY m",
-        "l_lenders_new": "SELECT DISTINCT l FROM headers WHERE NOT unknown AND l NOT IN (0, 1, 2)",
-        "l_borrowers_loaded": "SELECT DISTINCT r.l, r.id_emprunteur FROM raw r JOIN decided x ON r.l = x.l AND r.m = x.m AND r.pos = x.pos WHERE x.decision <> 'REJETE'",
         "i_truth_sizes": "SELECT taille, count(*) AS n FROM (SELECT b, count(*) AS taille FROM borrower GROUP BY b) x GROUP BY taille",
     }

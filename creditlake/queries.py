@@ -2,70 +2,393 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import identity
-from .plans.credit import runner, statements
+from . import functions as fn
+from .operators import features, identity, rules, scorecard
+from .operators.validation import Validated, validate
+from .oracles import ORACLES
+from .plans import scoring
+from .plans.credit import MONTH_ENDS, PROFILES, declared, runner, statements
 from .plans.dialect import DuckDB, Spark
-from .sources import generator
+from .sources import declarations, generator
 
+Query = Callable[[SparkSession, str], DataFrame]
 PLANS = statements(Spark())
-#: The similarity of names is a nested fold here; tests hold it against brute force instead.
-ORACLE_SQL = {k: v for k, v in statements(DuckDB()).items() if k != "i_match"}
-QUERIES = {k: runner(v) for k, v in PLANS.items()}
+QUERIES: dict[str, Query] = {k: runner(v) for k, v in PLANS.items()}
+KEYS = ["l", "m"]
+
+
+def _query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _rows(spark: SparkSession, sf_dir: str, step: str) -> DataFrame:
+    """The projection's rows: what lenders declare, read from `orders`."""
+    return runner(declared(Spark(), step))(spark, sf_dir)
 
 
 def _save(spark: SparkSession):
-    """Reliable checkpoints in the folder that all executors share; tests without one get a local folder."""
+    """Reliable checkpoints in the folder that all executors share; only a local master may do without one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="creditlake-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="creditlake-"))
     return lambda df: df.checkpoint()
 
 
+def _checked(spark: SparkSession, sf_dir: str) -> Validated:
+    headers, borrowers, contracts, lenders = (_rows(spark, sf_dir, s) for s in ("raw_header", "raw_borrower", "raw_contract", "lenders"))
+    return validate(headers, borrowers, contracts, lenders.select("code_declarant"), KEYS, save=_save(spark))
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).reports()
+
+
+def _share(a: str, b: str) -> F.Column:
+    return F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(0.0)
+
+
+def recall(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the different signatures in truth how many were found, by code and (code *) over all; an empty truth gives 1.
+    Both have the same columns: lender, entity, identifier, field, code."""
+    each = truth.distinct().join(found.distinct().withColumn("hit", F.lit(1)), truth.columns, "left")
+    by = each.groupBy("code").agg(F.count("*").alias("injected"), F.count("hit").alias("found"))
+    total = by.agg(F.lit("*").alias("code"), F.coalesce(F.sum("injected"), F.lit(0)).alias("injected"), F.coalesce(F.sum("found"), F.lit(0)).alias("found"))
+    return by.unionByName(total).withColumn("rappel", F.when(F.col("injected") > 0, F.round(F.col("found") / F.col("injected"), 6)).otherwise(1.0))
+
+
+# Rules, structure and decisions
+
+
+def _found(code: str) -> Query:
+    return lambda spark, sf_dir: _checked(spark, sf_dir).findings.where(F.col("code") == code).select("l", "m", "identifiant", "champ", "valeur_recue")
+
+
+QUERIES |= {"v_orphan_borrower": _found("E008"), "v_duplicate_contract": _found("E009"), "v_unknown_lender": _found("E013")}
+
+
+def _of(entity: str) -> Query:
+    return lambda spark, sf_dir: _checked(spark, sf_dir).findings.where(F.col("entite") == entity).select("l", "m", "identifiant", "code", "champ", "severite", "valeur_recue")
+
+
+QUERIES |= {"v_rules_contract": _of("contrat"), "v_rules_borrower": _of("emprunteur"), "v_structural_kept": _of("fichier")}
+
+
+@_query
+def v_structural_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).errors.select("l", "m", "section", "pos", "element", "code")
+
+
+@_query
+def v_first_error_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).files.select("l", "m", "malformed", "first_code", "sound")
+
+
+@_query
+def v_header_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _checked(spark, sf_dir)
+    return v.contracts.join(v.files.where("vetoed").select(*KEYS), KEYS).groupBy(*KEYS, "decision").agg(F.count("*").alias("n"))
+
+
+@_query
+def v_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).contracts.select("l", "m", "pos", "id_contrat_source", "decision")
+
+
+@_query
+def v_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reports(spark, sf_dir).withColumn("taux", F.round("taux", 6))
+
+
+@_query
+def v_lender_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).contracts.groupBy("l", "decision").agg(F.count("*").alias("n"))
+
+
+@_query
+def v_detection_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _checked(spark, sf_dir).findings.select("l", "entite", F.col("identifiant").alias("ident"), "champ", "code")
+    return recall(_rows(spark, sf_dir, "truth"), found)
+
+
+# Aggregates of the dashboard
+
+
+@_query
+def q_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(c, s, e) for c, _, s, e in rules.catalogue()], "code string, severite string, entites string")
+
+
+@_query
+def q_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).findings.select("l", "m", "entite", F.col("identifiant").alias("ligne"), "champ", "code", "severite", "valeur_recue")
+
+
+@_query
+def q_lender_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = _reports(spark, sf_dir).groupBy("l").agg(F.sum("contrats").alias("contrats"), F.sum("rejetes").alias("rejetes"), F.sum("reserves").alias("reserves"))
+    out = sums.join(_rows(spark, sf_dir, "lenders"), "l", "left")
+    return out.select("l", F.coalesce("qualite", F.lit("inconnu")).alias("qualite"), "contrats", _share("rejetes", "contrats").alias("taux_rejet"), _share("reserves", "contrats").alias("taux_reserve")).orderBy(F.desc("taux_rejet"), "l")
+
+
+@_query
+def q_top_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _checked(spark, sf_dir).findings.groupBy("code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code").limit(10)
+    known = spark.createDataFrame([(c, s) for c, _, s, _ in rules.catalogue()], "code string, severite string")
+    return n.join(F.broadcast(known), "code", "left").select("code", "n", F.coalesce("severite", F.lit("BLOQUANT")).alias("severite"))  # 15 rows
+
+
+@_query
+def q_severity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _checked(spark, sf_dir).findings.groupBy("severite").agg(F.count("*").alias("n"))
+    all_ = spark.createDataFrame([(s,) for s in rules.SEVERITIES], "severite string").join(n, "severite", "left").select("severite", F.coalesce("n", F.lit(0)).alias("n"))
+    total = all_.agg(F.sum("n").alias("total"))
+    return all_.crossJoin(total).select("severite", "n", _share("n", "total").alias("part"))  # three rows and one
+
+
+@_query
+def q_monthly_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejection rate by quality profile and month, all profiles and months; files of unknown senders count nothing."""
+    sums = _reports(spark, sf_dir).where("declarant <> '?'").join(_rows(spark, sf_dir, "lenders").select("l", "qualite"), "l").groupBy("qualite", "m").agg(F.sum("contrats").alias("contrats"), F.sum("rejetes").alias("rejetes"))
+    grid = spark.createDataFrame([(p, m) for p in PROFILES for m in range(len(MONTH_ENDS))], "qualite string, m int")
+    return grid.join(sums, ["qualite", "m"], "left").select("qualite", "m", F.coalesce(_share("rejetes", "contrats"), F.lit(0.0)).alias("taux"))
+
+
+@_query
+def q_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of filled fields over all declarations, from one aggregate of each table."""
+    person = F.col("type_personne") == "PP"
+    mine = {"identite_principale": F.when(person, F.col("nom")).otherwise(F.col("raison_sociale")), "piece_identification": F.when(person, F.col("numero_piece")).otherwise(F.col("nif")), "telephone": F.col("telephone")}
+    theirs = {c: F.col(c) for c in ("date_octroi", "date_echeance", "montant_octroye", "encours", "classification")}
+    out = None
+    for step, fields in (("raw_borrower", mine), ("raw_contract", theirs)):
+        counts = _rows(spark, sf_dir, step).agg(F.count("*").alias("total"), *[F.count_if(F.coalesce(v, F.lit("")) == "").alias(n) for n, v in fields.items()])
+        long = counts.selectExpr("total", f"stack({len(fields)}, " + ", ".join(f"'{n}', {n}" for n in fields) + ") AS (champ, nb_manquants)")
+        out = long if out is None else out.unionByName(long)
+    return out.select("champ", "nb_manquants", F.when(F.col("total") > 0, F.round(1 - F.col("nb_manquants") / F.col("total"), 6)).otherwise(1.0).alias("taux_completude"))
+
+
+@_query
+def q_global_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("emprunteurs", "contrats", "acceptes", "reserves", "rejetes")
+    return _reports(spark, sf_dir).agg(F.count("*").alias("fichiers"), F.count_if("fichier_rejete").alias("fichiers_rejetes"), *[F.sum(n).alias(n) for n in names], F.min("m").alias("debut"), F.max("m").alias("fin"))
+
+
+@_query
+def q_file_top_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _checked(spark, sf_dir).findings.groupBy(*KEYS, "code").agg(F.count("*").alias("n"))
+    first = F.row_number().over(features.Window.partitionBy(*KEYS).orderBy(F.desc("n"), "code"))
+    return n.withColumn("nth", first).where("nth <= 5").drop("nth")
+
+
+@_query
+def q_months_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reports(spark, sf_dir).groupBy("m").agg(F.count("*").alias("fichiers"), F.sum("contrats").alias("contrats")).orderBy("m")
+
+
+# Load
+
+
+@_query
+def l_lenders_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered lenders that file something and aren't in the table yet, which holds those of excellent quality."""
+    lenders = _rows(spark, sf_dir, "lenders")
+    seen = _rows(spark, sf_dir, "raw_header").join(lenders.select("code_declarant", "qualite"), "code_declarant").select("code_declarant").distinct()
+    return seen.join(lenders.where("qualite = 'excellent'"), "code_declarant", "left_anti")
+
+
+@_query
+def l_borrowers_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).loadable()[0].select("l", "id_emprunteur_source").distinct()
+
+
+@_query
+def l_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts that the last six months add to what the first six months load: the first version of each."""
+    c = _checked(spark, sf_dir).loadable()[1]
+    return declarations.new_rows(c.where("m >= 6"), c.where("m < 6"), ["l", "id_contrat_source"], ["m", "pos"]).select("l", "id_contrat_source", "m")
+
+
+@_query
+def l_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts as loaded: empty is null, dates and amounts have their types."""
+    c = declarations.typed(_checked(spark, sf_dir).loadable()[1])
+    return c.select("l", "m", "id_contrat_source", "date_octroi", F.col("montant_octroye").cast("double").alias("montant_octroye"), F.col("encours").cast("double").alias("encours"), "jours_retard", "classification")
+
+
+# Identities
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.prepare(_rows(spark, sf_dir, "borrower"))
+
+
+@_query
+def i_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prepared(spark, sf_dir)
+
+
+@_query
+def i_phonetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.split_part("nom_complet", F.lit(" "), F.lit(1))
+    return _prepared(spark, sf_dir).select("cle", word.alias("mot"), fn.phonetic_key(word).alias("phon"))
+
+
+@_query
+def i_block_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.keyed(_prepared(spark, sf_dir))
+
+
+@_query
+def i_block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many blocks have how many records: shows hot blocks before their pairs are made."""
+    return identity.keyed(_prepared(spark, sf_dir)).groupBy("bk").agg(F.count("*").alias("taille")).groupBy("taille").agg(F.count("*").alias("n"))
+
+
+@_query
+def i_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.candidates(_prepared(spark, sf_dir))
+
+
+@_query
+def i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared = _prepared(spark, sf_dir)
+    return identity.match(prepared, identity.candidates(prepared)).select("a", "z", F.round("score", 6).alias("score"), "decision")
+
+
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.resolve(QUERIES["i_normalise"](spark, sf_dir), QUERIES["i_match"](spark, sf_dir), _save(spark))
+    return identity.resolve(_prepared(spark, sf_dir), i_match(spark, sf_dir), _save(spark))
 
 
+@_query
 def i_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.consolidated_ids(_resolved(spark, sf_dir))
 
 
+@_query
+def i_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.groups(_resolved(spark, sf_dir)).select("root", F.array_join("membres", " ").alias("membres"))
+
+
+@_query
 def i_pairwise_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _resolved(spark, sf_dir)
     return identity.pairwise_metrics(found, found.select("cle", F.regexp_extract("cle", "EMP([0-9]+)$", 1).alias("verite")))
 
 
+@_query
 def i_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.cluster_sizes(_resolved(spark, sf_dir))
 
 
-QUERIES |= {f.__name__: f for f in (i_components, i_pairwise_metrics, i_cluster_sizes)}
+# Features and the scorecard
+
+
+def _loans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Contracts and monthly snapshots, amounts in cents."""
+    kinds = F.col("k") % 6
+    grants = _rows(spark, sf_dir, "grants").join(_rows(spark, sf_dir, "lenders"), "l")
+    contracts = grants.select(F.col("code_declarant").alias("declarant"), F.col("k").alias("id_contrat"), F.concat("code_declarant", F.lit(":EMP"), F.col("b").cast("string")).alias("cle"), kinds.alias("type_credit"), F.col("octroi").alias("date_octroi"), F.col("cents").alias("montant_octroye"), F.col("garantie_c").alias("montant_garantie"))
+    snaps = _rows(spark, sf_dir, "snap").join(_rows(spark, sf_dir, "lenders"), "l")
+    unpaid = F.when(F.col("jr") > 0, F.expr("encours_c * jr div 365")).otherwise(0)
+    return contracts, snaps.select(F.col("code_declarant").alias("declarant"), F.col("k").alias("id_contrat"), F.col("arrete").alias("date_arrete"), F.col("encours_c").alias("encours"), unpaid.alias("montant_impaye"), F.col("jr").alias("jours_retard"), fn.arrears_class(F.col("jr")).alias("classification"))
+
+
+def _features(spark: SparkSession, sf_dir: str, identities: DataFrame) -> DataFrame:
+    import datetime
+
+    return features.features(*_loans(spark, sf_dir), identities, [datetime.date.fromisoformat(x) for x in MONTH_ENDS])
+
+
+@_query
+def s_features_nine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the true customers."""
+    truth = _rows(spark, sf_dir, "borrower").select("cle", F.col("b").alias("bic"))
+    f = _features(spark, sf_dir, truth)
+    names = dict(zip(features.FEATURES, ["nb_declarants", "nb_contrats", "encours_total", "ratio_impaye", "max_retard", "nb_douteux", "anciennete", "taux_couverture", "nb_types"], strict=True))
+    exact = {n: F.round(n, 9) if n.startswith(("ratio", "taux")) else F.col(n) for n in names}
+    return f.select(F.col("bic").alias("b"), *[exact[n].alias(names[n]) for n in scoring_order(names)], "defaut")
+
+
+def scoring_order(names: dict[str, str]) -> list[str]:
+    return sorted(names, key=lambda n: scoring.FEATURES.index(names[n]))
+
 
+@_query
+def s_features_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features by resolved identity: contracts of one borrower at several lenders count together."""
+    return _features(spark, sf_dir, i_components(spark, sf_dir).select("cle", "bic"))
 
-#: Size and seed of the generated data that the queries show; nothing of it comes from the tables.
+
+def _woe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each customer with the weight of evidence of each feature, and the target."""
+    long = QUERIES["s_woe_lookup"](spark, sf_dir).groupBy("b").pivot("variable", scoring.FEATURES).agg(F.first("woe"))
+    return long.join(QUERIES["s_target"](spark, sf_dir), "b")
+
+
+@_query
+def s_score_woe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and the three largest contributions by the fixed coefficients, from the scorecard operator."""
+    out = scorecard.score(_woe(spark, sf_dir), scoring.FEATURES, [scoring.COEFFICIENTS[f] for f in scoring.FEATURES], scoring.INTERCEPT)
+    return out.select("b", F.col("score").cast("double").alias("score"), F.array_join(F.col("facteurs.variable"), ",").alias("facteurs"))
+
+
+@_query
+def s_scorecard_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients fitted on the weights of evidence of the selected features."""
+    kept = [r["variable"] for r in QUERIES["s_selection"](spark, sf_dir).where("retenue").orderBy("variable").collect()]  # nine at most
+    coefficients, intercept = scorecard.fit(_woe(spark, sf_dir), kept)
+    return spark.createDataFrame([*zip(kept, coefficients, strict=True), ("", intercept)], "variable string, coefficient double")
+
+
+# Generator: size and seed of the data that the queries show; nothing of it comes from the tables.
 GENERATED = {"n": 3000, "contracts": 5000, "seed": 42}
 
 
+def _generated(spark: SparkSession) -> tuple[DataFrame, DataFrame, generator.Declarations, DataFrame]:
+    people = generator.borrowers(spark, GENERATED["n"], GENERATED["seed"])
+    loans = generator.contracts(people, GENERATED["contracts"], GENERATED["n"], GENERATED["seed"])
+    return people, loans, *generator.inject(generator.assemble(people, generator.snapshots(loans, GENERATED["seed"])), GENERATED["seed"])
+
+
+@_query
 def g_borrowers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generator.declared_borrowers(generator.borrowers(spark, GENERATED["n"], GENERATED["seed"]), GENERATED["seed"])
+    return _generated(spark)[0]
 
 
+@_query
 def g_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = generator.borrowers(spark, GENERATED["n"], GENERATED["seed"])
-    return generator.contracts(people, GENERATED["contracts"], people.count(), GENERATED["seed"])
+    return _generated(spark)[1]
 
 
+@_query
 def g_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generator.declared_contracts(generator.snapshots(g_contracts(spark, sf_dir), GENERATED["seed"]), GENERATED["seed"])
+    return _generated(spark)[2].contracts
 
 
+@_query
 def g_anomaly_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contracts = generator.anomaly_truth(g_declared(spark, sf_dir), "contrat", "id_contrat")
-    return generator.anomaly_truth(g_borrowers(spark, sf_dir), "emprunteur", "id_emprunteur").unionByName(contracts)
+    return _generated(spark)[3]
+
+
+@_query
+def g_detection_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the generator's own anomalies: generated, assembled, corrupted, validated."""
+    _, _, d, truth = _generated(spark)
+    v = validate(d.headers, d.borrowers, d.contracts, generator.lenders(spark).select("code_declarant"), KEYS, MONTH_ENDS[-1], _save(spark))
+    found = v.findings.join(v.files.select(*KEYS, "declarant"), KEYS).select("declarant", "entite", F.col("identifiant").alias("ligne"), "champ", "code")
+    return recall(truth, found)
 
 
-QUERIES |= {f.__name__: f for f in (g_borrowers, g_contracts, g_declared, g_anomaly_truth)}
+#: Statements that Spark and DuckDB share, and hand-written ones for what DataFrame operators do here.
+ORACLE_SQL = statements(DuckDB()) | ORACLES

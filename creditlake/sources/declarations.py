@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import strict_date, strict_int, strict_number
+
 # Element names of the file format, in its order.
 BORROWER = "id_emprunteur_source type_personne nom prenom raison_sociale date_naissance sexe type_piece numero_piece nif telephone ville pays".split()
 CONTRACT = "id_contrat_source id_emprunteur_source type_credit date_octroi date_echeance montant_octroye devise taux_interet periodicite type_garantie montant_garantie date_arrete encours montant_impaye jours_retard classification".split()
@@ -42,6 +44,26 @@ def borrowers(parsed: DataFrame) -> DataFrame:
     return parsed.where("NOT malformed").select("file", "declarant", F.posexplode("d.emprunteurs.emprunteur").alias("pos", "e")).select("file", "declarant", "pos", "e.*")
 
 
+def headers(parsed: DataFrame) -> DataFrame:
+    """(file, declarant, malformed, header fields) of every file; a malformed one has null fields."""
+    return parsed.select("file", "declarant", "malformed", *[F.when(~F.col("malformed"), F.col(f"d.entete.{n}")).alias(n) for n in HEADER])
+
+
+def typed(contracts: DataFrame) -> DataFrame:
+    """Contracts as the tables hold them: '' is null, dates, amounts of two decimals and day counts have their types. What
+    can't be read is null; rules reject such contracts before. Columns that aren't there are left out."""
+    dates, amounts = ("date_octroi", "date_echeance", "date_arrete"), ("montant_octroye", "taux_interet", "montant_garantie", "encours", "montant_impaye")
+    kinds = {n: strict_date(F.col(n)) for n in dates} | {n: strict_number(F.col(n)).cast("decimal(18,2)") for n in amounts} | {"jours_retard": strict_int(F.col("jours_retard")).cast("int")}
+    text = lambda n: F.nullif(F.col(n), F.lit("")) if n in CONTRACT else F.col(n)
+    return contracts.select(*[(kinds[n] if n in kinds else text(n)).alias(n) for n in contracts.columns])
+
+
+def emptied(borrowers: DataFrame) -> DataFrame:
+    """Borrowers as the tables hold them: '' is null, the birth date is a date."""
+    text = lambda n: F.nullif(F.col(n), F.lit("")) if n in BORROWER else F.col(n)
+    return borrowers.select(*[(strict_date(F.col(n)) if n == "date_naissance" else text(n)).alias(n) for n in borrowers.columns])
+
+
 def to_xml(files: DataFrame) -> DataFrame:
     """(file, content) of (file, entete, emprunteurs, contrats)."""
     return files.select("file", F.to_xml(F.struct("entete", F.struct(F.col("emprunteurs").alias("emprunteur")).alias("emprunteurs"), F.struct(F.col("contrats").alias("contrat")).alias("contrats")), {"rowTag": "declaration", "indent": ""}).alias("content"))
