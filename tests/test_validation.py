@@ -135,3 +135,20 @@ def test_catalogue_and_rules_by_entity():
     assert [c for c, *_ in rules.catalogue()] == [f"E{k:03}" for k in range(1, 16)]
     assert dict((c, e) for c, _, _, e in rules.catalogue())["E002"] == "emprunteur, contrat"
     assert len(rules.rules_for("contrat")) == 9 and len(rules.RULES) == 16
+
+
+def test_files_that_arrive_are_validated_and_loaded_once(spark, tmp_path):
+    from creditlake.streaming import files
+
+    (tmp_path / "in").mkdir()
+    registry = spark.createDataFrame(LENDERS, "code_declarant string")
+
+    def drop(name, **change):
+        (tmp_path / "in" / name).write_text(xml(spark, contracts=[CONTRACT | change]).first()["content"])
+        files.start(spark, f"{tmp_path}/in", f"file://{tmp_path}/table", f"{tmp_path}/state", registry).awaitTermination()
+        return sorted(r["id_contrat_source"] for r in spark.read.parquet(f"{tmp_path}/table").collect())
+
+    assert drop("BQ000001_20250731.xml") == ["CNT000001"]
+    assert drop("BQ000001_20250732.xml") == ["CNT000001"]  # the same contract and month again
+    assert drop("BQ000001_20250733.xml", id_contrat_source="C2", encours="-1.00") == ["CNT000001"]  # rejected
+    assert drop("BQ000001_20250734.xml", id_contrat_source="C3") == ["C3", "CNT000001"]
