@@ -55,7 +55,7 @@ WHOLE = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-1.0", "GP
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Least cosines of a line or a run of lines, of a whole text to opening words, and of a whole text to a whole licence, and
 #: how far the best whole licence must be ahead of the next one.
-LINE_COSINE, FILE_COSINE, WHOLE_COSINE, MARGIN = 0.8, 0.8, 0.92, 0.01
+LINE_COSINE, FILE_COSINE, WHOLE_COSINE, MARGIN = 0.8, 0.8, 0.92, 0.002
 #: So many of a whole licence's heaviest terms tell whether a text can reach the least cosine.
 HEAVY = 40
 #: Marks the first term of a line (a private character).
@@ -198,7 +198,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(path, *keep, license, origin, cosine, from_path) for every row of docs (path, text); keep names columns to carry.
 
     origin: 'file' if the whole text is a licence (cosine of at least 0.8 to a template, or 0.92 to a licence's whole text
-    and 0.01 ahead of any other), 'header' if a line is, or a run of terms from a line's start that is as long as a template
+    and 0.002 ahead of any other), 'header' if a line is, or a run of terms from a line's start that is as long as a template
     (0.8), each the best one, which hang on the text alone; else 'inherited' from the nearest directory above, its own
     first, that holds a licence file (the best of a directory, then the smallest path, then the first licence); else null,
     with a null license. Null and empty texts match nothing but inherit; a null path inherits nothing and passes nothing on.
