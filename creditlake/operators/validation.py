@@ -38,6 +38,8 @@ LEXICAL = {
     "montant_garantie": "E003",
 }
 FACET = {"encours": "E004", "devise": "E006", "numero_piece": "E010", "telephone": "E014"}
+#: So many files at most, of some 100 bytes each, are broadcast; beyond, records and files meet by a shuffle.
+FEW_FILES = 100_000
 AMOUNTS = ("montant_octroye", "montant_garantie", "encours", "montant_impaye")
 DATES = ("date_octroi", "date_echeance", "date_arrete")
 
@@ -90,12 +92,22 @@ def _broken(names: list[str]) -> Column:
     return F.filter(F.array(*[error(k, n) for k, n in enumerate(names)]), lambda x: x.isNotNull())
 
 
-def _sections(headers: DataFrame, borrowers: DataFrame, contracts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, section, pos, errors) of every record: its structural errors. Nothing filters on them here, as a filter would
-    work them out twice."""
+def _first_code(names: list[str]) -> Column:
+    """The code of a record's first structural error, null without any; one plain expression, so that it is compiled."""
+    each = []
+    for element in names:
+        code = F.when(F.col(element).isNull(), "E000")
+        for facet, broken in _checks(element):
+            code = code.when(broken, code_of(element, facet))
+        each.append(code)
+    return F.coalesce(*each)
+
+
+def _sections(headers: DataFrame, borrowers: DataFrame, contracts: DataFrame, keys: list[str], name: str, of: Callable[[list[str]], Column]) -> DataFrame:
+    """(keys, section, pos, name) of every record. Nothing filters on `name` here: a filter would work it out twice."""
     out = None
     for k, (df, names) in enumerate(((headers.where("NOT malformed").withColumn("pos", F.lit(0).cast("long")), HEADER), (borrowers, BORROWER), (contracts, CONTRACT))):
-        rows = df.select(*keys, F.lit(k).alias("section"), F.col("pos").cast("long").alias("pos"), _broken(names).alias("errors"))
+        rows = df.select(*keys, F.lit(k).alias("section"), F.col("pos").cast("long").alias("pos"), of(names).alias(name))
         out = rows if out is None else out.unionAll(rows)
     return out
 
@@ -140,19 +152,20 @@ def validate(headers: DataFrame, borrowers: DataFrame, contracts: DataFrame, reg
     Repeated rows are rows of their own, as in a file. Empty frames give empty ones.
     save: stores the frame of files, one small row each, which all others are joined with.
     """
-    broken = _sections(headers, borrowers, contracts, keys)
-    errors = broken.select(*keys, "section", "pos", F.inline_outer("errors")).where("code IS NOT NULL")
-    first = broken.select(*keys, "section", "pos", F.get("errors", F.lit(0))["code"].alias("code"))
+    errors = _sections(headers, borrowers, contracts, keys, "errors", _broken).select(*keys, "section", "pos", F.inline_outer("errors")).where("code IS NOT NULL")
+    first = _sections(headers, borrowers, contracts, keys, "code", _first_code)
     gate = first.groupBy(*keys).agg(F.min_by("code", F.when(F.col("code").isNotNull(), F.struct("section", "pos"))).alias("first_code"))
     files = headers.join(registry.select("code_declarant", F.lit(True).alias("registered")), "code_declarant", "left").join(gate, keys, "left")
     files = files.withColumn("registered", F.coalesce("registered", F.lit(False))).withColumn("sound", ~F.col("malformed") & F.coalesce(F.col("first_code") != "E000", F.lit(True)))
     reference = F.lit(date_reference).cast("date") if date_reference else strict_date(F.coalesce("date_arrete", F.lit("")))
     files = save(files.withColumn("date_reference", reference).withColumn("vetoed", F.col("sound") & ~F.col("registered")))
     sound = files.where("sound").select(*keys, "date_reference", "vetoed")
+    if files.limit(FEW_FILES + 1).count() <= FEW_FILES:
+        sound = F.broadcast(sound)
 
     people = borrowers.join(sound, keys)
     known = people.select(*keys, "id_emprunteur_source").distinct().withColumn("known", F.lit(True))
-    loans = contracts.join(sound.drop("date_reference"), keys).join(known, [*keys, "id_emprunteur_source"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    loans = contracts.join(sound, keys).drop("date_reference").join(known, [*keys, "id_emprunteur_source"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
     same = Window.partitionBy(*keys, "id_contrat_source")
     loans = loans.withColumn("nth", F.row_number().over(same.orderBy("pos")))
 
