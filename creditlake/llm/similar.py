@@ -1,7 +1,8 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands propose pairs, whole shingle sets decide them.
+"""Near-duplicates by SimHash: wide fingerprints of word shingles, cut into bands, propose pairs; whole shingle sets decide them.
 
-SimHash can't propose them: at similarity 0.8 two fingerprints differ by 64 * acos(8 / 9) / pi = 9.7 bits on average, 18 and
-more are usual, and no pigeonhole table of so few shared bits tells documents apart.
+At a Jaccard similarity of 0.8 two sets have a cosine of 8 / 9 at least, so each bit differs with probability
+acos(8 / 9) / pi = 0.152. In 64 bits that is 9.7 of them on average, 18 and more are usual, and no table of so few shared
+bits tells documents apart; hence the fingerprint has BITS bits here, and a limit of its own.
 """
 
 from __future__ import annotations
@@ -20,10 +21,18 @@ from .simhash import SEED
 
 #: Near-duplicates share at least 4 of 5 shingles of both together.
 LEAST = (4, 5)
-#: A pair at similarity s meets in some band with probability 1 - (1 - s ** ROWS) ** BANDS: at 0.8 all but 3 in a million.
-BANDS, ROWS = 32, 5
-_FACTORS, _MASKS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+#: Bits of the fingerprint, bands of its bits that tables share, and bits of each band.
+BITS, BANDS, ROWS = 512, 40, 12
+#: Fingerprints meet at so many differing bits at most: at 0.8 the mean is 77.6 and the deviation 8.1, so this is six above;
+#: unrelated ones differ by 256 +- 11.
+MAX_BITS = 127
+_RNG = np.random.default_rng(SEED)
+_MASKS, _FACTORS = _RNG.integers(0, 1 << 64, (2, BITS // 64), np.uint64)
 _FACTORS |= np.uint64(1)
+#: The first bands are the fingerprint in order; then its bits are dealt out anew, again and again.
+_BAND_BITS = np.concatenate([np.arange(BITS), *[_RNG.permutation(BITS) for _ in range(BANDS * ROWS // BITS)]])[: BANDS * ROWS]
+#: Buckets up to this length are compared by shifting the sorted rows against themselves, longer ones row by row.
+SHORT_RUN = 64
 _CHUNK = 2048
 #: A cell of a group that is compared in blocks holds so many shingles and nodes, or one node.
 CELL_SHINGLES, CELL_ROWS = 1 << 17, 512
@@ -42,14 +51,73 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(x, SEED) for x in map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))], np.uint64))
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """A signed key for each band: a hash of its ROWS least permuted shingles."""
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(shingles), _CHUNK):
-        least = np.minimum(least, ((shingles[None, at : at + _CHUNK] ^ _MASKS[:, None]) * _FACTORS[:, None]).min(axis=1))
-    flat = least.tobytes()
-    keys = [xxhash.xxh64_intdigest(flat[8 * ROWS * k : 8 * ROWS * (k + 1)], k) for k in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """BITS // 64 words: a bit is 1 if set in over half of the hashes that each shingle has for the words."""
+    votes = np.zeros(BITS, np.int64)
+    for at in range(0, len(shingles), 255):
+        h = (shingles[at : at + 255, None] ^ _MASKS) * _FACTORS
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        votes += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(shingles)).view(np.uint64)
+
+
+def band_keys(words: np.ndarray) -> list[int]:
+    """For each band its number and its bits of the fingerprint."""
+    bits = np.unpackbits(words.view(np.uint8))[_BAND_BITS].reshape(BANDS, ROWS)
+    return ((np.arange(BANDS) << ROWS) | (bits @ (1 << np.arange(ROWS)))).tolist()
+
+
+def near_fingerprints(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j), fewer than rows, that span what is linked at MAX_BITS or fewer in one bucket of fingerprints."""
+    n, label = len(fps), np.arange(len(fps))
+    for i in range(n - 1):
+        if i and label[i] == 0 and not label.any():
+            break  # all are one component
+        j = np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(axis=1, dtype=np.int32) <= MAX_BITS) + i + 1
+        j = j[label[j] != label[i]]
+        if len(j):
+            label = components_of(n, np.full(len(j), i), j, label)
+    some = np.flatnonzero(label != np.arange(n))
+    return label[some], some
+
+
+def _proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of each bucket, from rows (key, node, fp) sorted by key; one bucket at most is held over."""
+
+    def done(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+        length = np.diff(cut)
+        run = np.repeat(np.arange(len(length)), length)
+        i, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for d in range(1, int(min(length.max(), SHORT_RUN))):
+            at = np.flatnonzero((run[d:] == run[:-d]) & (length[run[d:]] <= SHORT_RUN))
+            at = at[np.bitwise_count(fps[at] ^ fps[at + d]).sum(axis=1, dtype=np.int32) <= MAX_BITS]
+            i.append(at)
+            j.append(at + d)
+        label = components_of(len(keys), np.concatenate(i), np.concatenate(j))
+        some = np.flatnonzero(label != np.arange(len(keys)))
+        a, b = [nodes[label[some]]], [nodes[some]]
+        for k in np.flatnonzero(length > SHORT_RUN):
+            i, j = near_fingerprints(fps[cut[k] : cut[k + 1]])
+            a.append(nodes[cut[k] + i])
+            b.append(nodes[cut[k] + j])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    for x in batches:
+        if not x.num_rows:
+            continue
+        keys, nodes = (x.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        fps = np.frombuffer(b"".join(x.column(2).to_pylist()), np.uint64).reshape(len(keys), -1)
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
+        if cut or (held and held[-1][0][-1] != keys[-1]):
+            yield done(*(np.concatenate(c) for c in zip(*held, (keys[:cut], nodes[:cut], fps[:cut]), strict=True)))
+            held = []
+        held.append((keys[cut:], nodes[cut:], fps[cut:]))
+    if held:
+        yield done(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -75,8 +143,9 @@ def _node(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
 
 
-def _signature(shingles: np.ndarray) -> tuple[int, int, list[int]]:
-    return _node(shingles), len(shingles), band_keys(shingles)
+def _signature(shingles: np.ndarray) -> tuple[int, int, bytes, list[int]]:
+    words = wide_fingerprint(shingles)
+    return _node(shingles), len(shingles), words.tobytes(), band_keys(words)
 
 
 def _whole(shingles: np.ndarray) -> tuple[int, bytes]:
@@ -185,21 +254,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     """(id, component_id) for each different id: the smallest id that is reachable through documents whose sets of
     `width`-word shingles have a Jaccard similarity of at least 0.8. Null ids have no row; empty texts are alike.
 
-    Equal sets are one node. In each band's bucket every node is held against the smallest one first. What those meetings
-    connect, similar or not, holds every pair that shares a bucket; where its links leave several components, all its nodes
-    are compared in blocks, of which only links come out.
+    Equal sets are one node. In each band's bucket the fingerprints that differ by MAX_BITS or fewer meet, through edges
+    that span them. What those meetings connect, similar or not, holds every such pair of a bucket; where its links leave
+    several components, all its nodes are compared in blocks, of which only links come out.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    signed = materialize(_each(texts, width, _signature, "node long, size long, bands array<long>"), "similar-signatures")
-    reps = materialize(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "similar-nodes")
-    spread = reps.select("node", F.explode("bands").alias("key"))
-    heads = spread.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    signed = materialize(_each(texts, width, _signature, "node long, size long, fp binary, bands array<long>"), "similar-signatures")
+    reps = materialize(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "similar-nodes")
+    spread = reps.select(F.explode("bands").alias("key"), "node", "fp").repartition("key").sortWithinPartitions("key")
 
     def save(df: DataFrame) -> DataFrame:
         return materialize(df, "similar-edges")
 
-    first = save(spread.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    first = save(spread.mapInArrow(_proposed, "a long, b long").distinct())
     sets = _sets(first, texts, reps, width)
     both = first.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     links = materialize(both.select("a", "b", "x", "y").mapInArrow(_decide, "a long, b long"), "similar-links")
